@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from optara.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from optara.llm.common import materialize, table
 from optara.llm.queries import TOXIC_CUT, tokenizer_path, toxicity_model
+from optara.shipping import shipped
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact_dedup", drop_exact_copies),
-    ("minhash_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("toxicity", shipped(drop_toxic)),
+    ("exact_dedup", shipped(drop_exact_copies)),
+    ("minhash_dedup", shipped(drop_near_copies)),
+    ("mixing", shipped(mix_sources)),
+    ("bpe", shipped(encode)),
 ]
 
 
