@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import exact, text, words
 from .functions.schedule import schedule
-from .operators import answer, pick, relations, rows, score
+from .operators import answer, pick, relations, rows, score, scorer
 from .plans import extra
 from .plans.decisions import decisions, item_cards, questions, table
 
@@ -51,12 +51,15 @@ def query(oracle: str | None = None):
 
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decisions(spark, sf_dir)
-    most = F.lit(True)
-    d = d.withColumn("cap", pick.middle_cap(F.col("quantity"))).withColumn("within", pick.allowed(F.col("quantity"), F.col("cap")))
-    d = d.withColumn("overall", pick.clear_winner(F.col("price"), most, 20.0))
-    fit = (F.size("within") >= 2) & (F.size("within") < F.col("k"))
-    return d.withColumn("local", F.when(fit, pick.capped_winner(F.col("price"), F.col("within"), most, 20.0)))
+    most, price = F.lit(True), F.col("price")
+    d = decisions(spark, sf_dir).withColumn("cap", pick.middle_cap(F.col("quantity")))
+
+    def local(within):
+        return F.when((F.size(within) >= 2) & (F.size(within) < F.col("k")), pick.capped_winner(price, within, most, 20.0))
+
+    # One expression with bound parts, so that a filter on the winners repeats it once and not each part in turn.
+    c = exact.let(F.col("cap"), lambda cap: exact.let(pick.allowed(F.col("quantity"), cap), lambda w: F.struct(w.alias("within"), local(w).alias("local"))))
+    return d.withColumn("c", c).withColumn("overall", pick.clear_winner(price, most, 20.0)).select("*", "c.within", "c.local")
 
 
 @query(f"with {P} select w.id, w.k, w.cap, w.overall, l.local from w join l using (id) where overall <> local")
@@ -370,7 +373,7 @@ select id, 192::bigint as state_width, least(st, 192)::bigint as state_used, 193
  array_to_string(list_transform(range(k), lambda i: 194 + qw + i * (ow + 1)), ',') as option_starts from z""")
 def slot_layout(spark, sf_dir):
     d = decisions(spark, sf_dir)
-    lay = rows.layout(F.col("id") % 200 + 50, F.col("id") % 170 + 10, F.transform("part", lambda p: p % 400 + 20))
+    lay = rows.layout(F.col("id") % 200 + 50, F.col("id") % 170 + 10, F.transform("part", lambda p: p % 400 + 20), question_slot=64, option_slot=96)
     return d.withColumn("l", lay).select("id", "l.state_width", "l.state_used", "l.question_start", "l.question_width", "l.option_width", F.array_join(F.col("l.option_starts").cast("array<string>"), ",").alias("option_starts"))
 
 
@@ -382,7 +385,7 @@ def tail_truncate(spark, sf_dir):
 @query("with c as (select conv_id, count(*) as k from conversations group by 1) select conv_id, k, (row_number() over (partition by k order by conv_id) - 1) // 8 as batch from c")
 def batch_by_options(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("k"))
-    return rows.batches(c, F.col("k"), [F.col("conv_id")], 8)
+    return rows.batches(c, "k", [F.col("conv_id")], 8)
 
 
 @query(f"""with {D}, o as (select id, unnest(part) as part, unnest(range(k)) as pos from d) select id, string_agg(part::varchar, ',' order by sha256('7/' || id || '/' || pos)) as parts from o group by 1""")
@@ -451,9 +454,9 @@ def slugs(spark, sf_dir):
     return p.select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_type")).alias("domain"), text.file_name(F.concat_ws("/", "p_type", "p_brand")).alias("file"))
 
 
-@query("select conv_id, turn, '256,' || array_to_string(list_transform(range(1, least(strlen(text), 30) + 1), lambda i: ('0x' || substr(hex(text), (2 * i - 1)::integer, 2))::integer), ',') || ',257' as ids from conversations")
+@query("select conv_id, turn, '257,' || array_to_string(list_transform(range(1, least(strlen(text), 30) + 1), lambda i: ('0x' || substr(hex(text), (2 * i - 1)::integer, 2))::integer), ',') || ',258' as ids from conversations")
 def byte_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.byte_ids(F.col("text"), 32, 256, 257).cast("array<string>"), ",").alias("ids"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.byte_ids(F.col("text"), 32, scorer.BOS, scorer.EOS).cast("array<string>"), ",").alias("ids"))
 
 
 @query("select * from (select conv_id, turn, role from conversations order by conv_id desc, turn, role limit 25)")

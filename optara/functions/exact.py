@@ -6,6 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def field(name: str):
+    """A function that takes a struct's field, for use inside array functions."""
+    return lambda x: x[name]
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tenths(value: Column) -> Column:
     """10 * value rounded half to even on the exact binary value, as a double.
 
@@ -19,18 +29,28 @@ def tenths(value: Column) -> Column:
     whole = F.floor(s).cast("double")
     part = s - whole
     up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    return F.when(value < 0, -(whole + up.cast("double"))).otherwise(whole + up.cast("double"))
+    return F.signum(value) * (whole + up.cast("double"))
 
 
 def round1(value: Column) -> Column:
     return tenths(value) / F.lit(10.0)
 
 
+def _written(value: Column, t: Column) -> Column:
+    """value as text, given its tenths as a whole number without sign."""
+    rest = F.when(t % 10 > 0, F.concat(F.lit("."), (t % 10).cast("string"))).otherwise(F.lit(""))
+    return F.when(value >= 100, F.rint(value).cast("bigint").cast("string")).otherwise(F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(t / 10).cast("string"), rest))
+
+
 def fmt(value: Column) -> Column:
     """No decimals from 100 on, else one decimal without a trailing zero."""
-    t = F.abs(tenths(value)).cast("bigint")
-    small = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(t / 10).cast("string"), F.when(t % 10 > 0, F.concat(F.lit("."), (t % 10).cast("string"))).otherwise(F.lit("")))
-    return F.when(value >= 100, F.rint(value).cast("bigint").cast("string")).otherwise(small)
+    return _written(value, F.abs(tenths(value)).cast("bigint"))
+
+
+def fmt_all(values: Column) -> Column:
+    """fmt of each element of an array of doubles."""
+    pairs = F.transform(values, lambda v: F.struct(v.alias("v"), F.abs(tenths(v)).cast("bigint").alias("t")))
+    return F.transform(pairs, lambda p: _written(p["v"], p["t"]))
 
 
 def printed(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import words as W
-from .exact import fmt
+from .exact import fmt_all, let
 
 
 def by_language(language: Column, of) -> Column:
@@ -26,18 +26,24 @@ def capitalize(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
 
 
-def card(product: Column, language: Column, sodium_mg: Column, number=fmt) -> Column:
-    """Brand and name, quantity if any, then seven values in fixed order; salt as sodium in mg where asked."""
-    blank = lambda c: F.when(c != "", c)
-    head = F.concat(F.concat_ws(" · ", blank(product["brand"]), blank(product["name"])), F.when(product["quantity"] != "", F.concat(F.lit(" ("), product["quantity"], F.lit(")"))).otherwise(F.lit("")))
+def panel_text(numbers: Column, language: Column, sodium: Column) -> Column:
+    """The body of a card from eight printed numbers: seven values in fixed order, then sodium in mg, printed in place of salt where asked."""
 
     def body(code: str) -> Column:
         names = W.PRINTED[code]
-        parts = [F.concat(F.lit(names[n] + " "), number(product["values"][n]), F.lit(" kcal" if n == "energy" else " g")) for n in W.NUTRIENTS[:-1]]
-        salt = F.when(sodium_mg, F.concat(F.lit(names["sodium"] + " "), number(product["sodium"] * F.lit(1000.0)), F.lit(" mg"))).otherwise(F.concat(F.lit(names["salt"] + " "), number(product["values"]["salt"]), F.lit(" g")))
+        parts = [F.concat(F.lit(names[n] + " "), F.get(numbers, F.lit(i)), F.lit(" kcal" if n == "energy" else " g")) for i, n in enumerate(W.NUTRIENTS[:-1])]
+        salt = F.when(sodium, F.concat(F.lit(names["sodium"] + " "), F.get(numbers, F.lit(7)), F.lit(" mg"))).otherwise(F.concat(F.lit(names["salt"] + " "), F.get(numbers, F.lit(6)), F.lit(" g")))
         return F.concat_ws(", ", *parts, salt)
 
-    return F.concat(head, F.lit(". "), by_language(language, body), F.lit("."))
+    return F.concat(by_language(language, body), F.lit("."))
+
+
+def card(product, language: Column, sodium_mg: Column) -> Column:
+    """Brand and name, quantity if any, then seven values in fixed order; salt as sodium in mg where asked."""
+    blank = lambda c: F.when(c != "", c)
+    head = F.concat(F.concat_ws(" · ", blank(product["brand"]), blank(product["name"])), F.when(product["quantity"] != "", F.concat(F.lit(" ("), product["quantity"], F.lit(")"))).otherwise(F.lit("")))
+    numbers = fmt_all(F.array(*(product["values"][n] for n in W.NUTRIENTS), product["sodium"] * F.lit(1000.0)))
+    return F.concat(head, F.lit(". "), let(numbers, lambda n: panel_text(n, language, sodium_mg)))
 
 
 def language(question: Column) -> Column:
@@ -58,9 +64,16 @@ def mentions(question: Column, language: Column) -> Column:
 
 def panel(text: Column) -> Column:
     """The values a card prints, as a struct; salt from sodium where salt isn't printed."""
+    return let(card_body(text), panel_values)
+
+
+def card_body(text: Column) -> Column:
+    """The text from its last energy label on, if it has one: names before it may hold nutrient words."""
     tail = F.regexp_extract(text, r"(?isuU)^.*((?:energy |energía ).*)$", 1)
-    body = F.when(tail == "", text).otherwise(tail)
+    return F.coalesce(F.nullif(tail, F.lit("")), text)
+
 
+def panel_values(body: Column) -> Column:
     def value(name: str) -> Column:
         said = "|".join(re.escape(W.PRINTED[c][name]) for c in ("en", "es"))
         unit = {"energy": "kcal", "sodium": "mg"}.get(name, "g")

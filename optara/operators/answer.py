@@ -7,32 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import words as W
+from ..functions.exact import let
+
+
+def parsed(question: Column) -> Column:
+    """Struct (target, capped, limit, least) of a question; target is null where no nutrient is named.
+
+    The last nutrient named is the target and the first the capped one; a limit counts only with two mentions.
+    """
+    named = X.mentions(question, X.language(question))
+    return let(named, lambda n: F.struct(F.try_element_at(n, F.lit(-1)).alias("target"), F.try_element_at(n, F.lit(1)).alias("capped"), F.when(F.size(n) >= 2, X.cap_of(question)).alias("limit"), X.asks_least(question).alias("least")))
+
+
+def _value(panel: Column, name: Column) -> Column:
+    out = F.when(name == W.NUTRIENTS[0], panel[W.NUTRIENTS[0]])
+    for n in W.NUTRIENTS[1:]:
+        out = out.when(name == n, panel[n])
+    return out
 
 
 def decide(question: Column, texts: Column) -> Column:
     """Position of the option that the rules pick, null where the question doesn't parse or no card is left.
 
-    The last nutrient named is the target and the first the capped one; the cap counts only with two mentions; a card
-    without the capped value breaks the cap, one without the target is left out; of equal values the first wins.
+    A card without the capped value breaks the cap, one without the target is left out; of equal values the first wins.
     """
-    lang = X.language(question)
-    named = X.mentions(question, lang)
-    target, capped = F.try_element_at(named, F.lit(-1)), F.try_element_at(named, F.lit(1))
-    limit = F.when(F.size(named) >= 2, X.cap_of(question))
-
-    def value(panel: Column, name: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for n in W.NUTRIENTS:
-            out = F.when(name == n, panel[n]).otherwise(out)
-        return out
-
-    def option(t: Column, i: Column) -> Column:
-        p = X.panel(t)
-        over = F.coalesce(value(p, capped), F.lit(1e9)) > limit
-        return F.struct(F.when(~F.coalesce(over, F.lit(False)), value(p, target)).alias("v"), i.alias("i"))
-
-    cards = F.filter(F.transform(texts, option), lambda x: x["v"].isNotNull())
-    least = X.asks_least(question)
-    # min over (value, position): the first of equal values wins either way.
-    keyed = F.transform(cards, lambda x: F.struct(F.when(least, x["v"]).otherwise(-x["v"]).alias("v"), x["i"].alias("i")))
-    return F.when(F.size(named) > 0, F.array_min(keyed)["i"].cast("int"))
+    panels = F.transform(F.transform(texts, X.card_body), X.panel_values)
+
+    def pick(q: Column) -> Column:
+        def option(p: Column, i: Column) -> Column:
+            within = q["limit"].isNull() | (F.coalesce(_value(p, q["capped"]), F.lit(1e9)) <= q["limit"])
+            return F.struct(F.when(within, _value(p, q["target"])).alias("v"), i.alias("i"))
+
+        cards = F.filter(F.transform(panels, option), lambda x: x["v"].isNotNull())
+        # The least (value, position), the value's sign turned where the most is asked: the first of equal values wins.
+        keyed = F.transform(cards, lambda x: F.struct(F.when(q["least"], x["v"]).otherwise(-x["v"]).alias("v"), x["i"].alias("i")))
+        return F.when(q["target"].isNotNull(), F.array_min(keyed)["i"].cast("int"))
+
+    return let(parsed(question), pick)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exact import printed, round1
+from ..functions.exact import let, printed, round1
 
 REL_MARGIN = 0.15
 
@@ -35,9 +35,8 @@ def separated(values: Column, best: Column, rel: float = REL_MARGIN, least: floa
 
 def middle_cap(values: Column) -> Column:
     """Mean of the elements around the middle (the lower two of an odd count), rounded to tenths."""
-    ranked = F.sort_array(values)
     half = F.floor(F.size(values) / 2).cast("int")
-    return round1((F.get(ranked, half - 1) + F.get(ranked, half)) / F.lit(2.0))
+    return let(let(F.sort_array(values), lambda r: (F.get(r, half - 1) + F.get(r, half)) / F.lit(2.0)), round1)
 
 
 def allowed(caps: Column, limit: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import unit
+from .ranks import row_numbers
 
 DEV_SHARE, SEALED_SHARE, POOL_ROWS = 0.2, 0.25, 400
 
@@ -42,7 +43,8 @@ def stratified(df: DataFrame, cell: list[str], order: list[Column], limit: int)
     """Every n-th row of each cell so that about limit rows stay: at least one of each cell, evenly spaced.
 
     With n of N rows in a cell its share is max(1, rint(n * limit / N)), and positions int(i * n / share) stay. Counts come
-    from partial aggregates; whether position j is one of them is settled by the neighbours of j / step.
+    from partial aggregates, positions from row numbers that no single task computes; whether position j is one of those
+    that stay is settled by the neighbours of j / step.
     """
     if not limit:
         return df
@@ -52,7 +54,7 @@ def stratified(df: DataFrame, cell: list[str], order: list[Column], limit: int)
     shares = counts.withColumn("__share", F.greatest(F.lit(1.0), F.rint(F.col("__n") * F.lit(limit) / F.col("__rows")))).withColumn("__step", F.col("__n") / F.col("__share"))
     match = [F.col(f"__c{i}").eqNullSafe(F.col(c)) for i, c in enumerate(cell)]
     shares = shares.select(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(cell)), "__rows", "__share", "__step")
-    ranked = df.withColumn("__j", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1)
+    ranked = row_numbers(df, cell, order, "__j")
     joined = ranked.join(shares, match)
     near = F.ceil(F.col("__j") / F.col("__step"))
     hit = F.lit(False)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import HARD_WORDS
+from .ranks import row_numbers
 
 MAX_OPTIONS = 26
 MAX_LENGTH = 1536
@@ -68,7 +69,7 @@ def fits(question: Column, texts: Column, limit: int = MAX_LENGTH) -> Column:
     return (F.octet_length(question) + 2 <= b["question"]) & F.forall(texts, lambda t: F.octet_length(t) + 2 <= b["option"])
 
 
-def layout(state: Column, question: Column, options: Column, limit: int = MAX_LENGTH, question_slot: int = 64, option_slot: int = 96) -> Column:
+def layout(state: Column, question: Column, options: Column, limit: int = MAX_LENGTH, question_slot: int = 108, option_slot: int = 191) -> Column:
     """Slots of one row from byte lengths: widths and starts of the state, the question and each option.
 
     The state's slot is as wide as its budget; the question's and the options' slots grow from their usual width to
@@ -88,10 +89,10 @@ def tail_bytes(text: Column, keep: int) -> Column:
     return F.when(F.octet_length(text) <= keep, h).otherwise(F.right(h, F.lit(2 * keep)))
 
 
-def batches(rows: DataFrame, options: Column, order: list, size: int) -> DataFrame:
+def batches(rows: DataFrame, options: str, order: list, size: int) -> DataFrame:
     """rows with batch: the number, within their option count, of the batch of size rows that they belong to."""
-    at = F.row_number().over(Window.partitionBy(options).orderBy(*order))
-    return rows.withColumn("batch", F.floor((at - 1) / size).cast("long"))
+    numbered = row_numbers(rows, [options], order, "__at")
+    return numbered.withColumn("batch", F.floor(F.col("__at") / size).cast("long")).drop("__at")
 
 
 def shuffle_options(options: Column, *key: Column) -> Column:

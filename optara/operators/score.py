@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import percent, wilson_lower
+from .ranks import at_ranks
 
 CELLS = ("difficulty:extreme", "difficulty:constrained", "options:3", "options:4", "options:5", "units:salt_g", "units:sodium_mg", "lang:en", "lang:es")
 
@@ -37,13 +38,12 @@ def chance(df: DataFrame, by: list[str], options: Column) -> DataFrame:
 
 
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Interpolated median, the value at position int(0.95 * (n - 1)) of the sorted values, and the mean."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    counted = df.where(F.col(value).isNotNull())
-    sums = counted.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("p50"), F.avg(value).alias("mean"))
-    at = counted.select(*by, value).withColumn("__k", rank)
-    joined = at.join(sums, by).where(F.col("__k") == F.floor(F.lit(0.95) * (F.col("n") - 1)) + 1)
-    return joined.select(*by, "n", "p50", F.col(value).alias("p95"), "mean")
+    """Per group n, the interpolated median, the value at position int(0.95 * (n - 1)) of the sorted values, and the mean."""
+    last = F.col("n") - 1
+    ranked = at_ranks(df, by, value, {"__lo": F.floor(last / 2), "__hi": F.ceil(last / 2), "p95": F.floor(F.lit(0.95) * last)})
+    means = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("mean"))
+    joined = ranked.join(means.select(*(F.col(c).alias(f"__m{i}") for i, c in enumerate(by)), "mean"), [F.col(f"__m{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)] or F.lit(True))
+    return joined.select(*by, "n", ((F.col("__lo") + F.col("__hi")) / F.lit(2.0)).alias("p50"), "p95", "mean")
 
 
 def label(name: Column, kind: Column, device: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.text import card
+from ..functions.exact import fmt
+from ..functions.text import card, fill
 
 VALUES = ("quantity", "price", "discount", "tax")
 
@@ -40,8 +41,5 @@ def item_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(rows: DataFrame, limit) -> DataFrame:
     """rows with a capped question: at most limit g of salt, and the highest calories."""
-    template = W.CAPPED["en"][0]
-    from ..functions.exact import fmt
-    from ..functions.text import fill
-
-    return rows.withColumn("question", fill(F.lit(template), limit=fmt(limit), c=F.lit("salt"), dir=F.lit("highest"), a=F.lit("calories")))
+    shown = rows.withColumn("limit", limit).withColumn("limit", fmt(F.col("limit")))
+    return shown.withColumn("question", fill(F.lit(W.CAPPED["en"][0]), limit=F.col("limit"), c=F.lit("salt"), dir=F.lit("highest"), a=F.lit("calories")))

@@ -1,7 +1,69 @@
-"""Queries without a SQL oracle: synthetic rungs, real episodes, scoring systems and streams."""
+"""Queries without a SQL oracle: synthetic rungs, real episodes, answering systems and streams."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import words as W
+from ..operators import episodes, scorer, synth, systems
+from ..streaming import history
+from . import benchmark
+from .decisions import table
+
+ROWS = 2000
+TINY = scorer.Config(max_length=512, d_model=32, n_heads=4, n_layers=1, d_ff=64, pointer_layers=1)
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products: sizes and prices stand in for a nutrition panel."""
+    p = table(spark, sf_dir, "part")
+    u = lambda n: F.pmod(F.xxhash64("p_partkey", F.lit(n)), F.lit(1000)) / F.lit(10.0)
+    values = F.struct((u("e") * 9 + 1).alias("energy"), u("f").alias("fat"), (u("s") / 2).alias("saturated_fat"), u("u").alias("sugars"), (u("b") / 4).alias("fiber"), (u("p") / 2).alias("proteins"), (u("t") / 20).alias("salt"))
+    return p.select(F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("code"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.concat(F.col("p_size").cast("string"), F.lit(" g")).alias("quantity"), F.col("p_type").alias("category"), F.col("p_type").alias("group"), F.when(F.col("p_partkey") % 3 == 0, "es").otherwise("en").alias("language"), values.alias("values"), (values["salt"] / F.lit(2.5)).alias("sodium"), F.col("p_partkey").alias("file_pos"))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("candidates", F.to_json("candidates"))
+
 
 def register(query) -> None:
-    pass
+    for rung in W.RUNGS:
+
+        def synth_rung(spark, sf_dir, rung=rung):
+            return _flat(synth.batch(spark, rung, ROWS, 7))
+
+        synth_rung.__name__ = f"synth_rung_{rung[:2]}"
+        query()(synth_rung)
+
+    @query()
+    def replay_mix(spark, sf_dir):
+        """A rung with a share of earlier ones: counts by origin."""
+        return synth.batch(spark, "r3-units", ROWS, 11, 0.5).groupBy("origin", "lang").agg(F.count("*").alias("n"))
+
+    @query()
+    def real_episodes(spark, sf_dir):
+        return _flat(episodes.publishable(episodes.build(products(spark, sf_dir))))
+
+    @query()
+    def system_scores(spark, sf_dir):
+        """The rule program over the real rows: 100% of the decidable ones, by construction."""
+        rows = episodes.build(products(spark, sf_dir)).drop("split")
+        return benchmark.totals(benchmark.answered(rows, {"rules": systems.rules}))
+
+    @query()
+    def model_predictions(spark, sf_dir):
+        """A small model with invented weights over synthetic rows: one forced choice each."""
+        rows = synth.batch(spark, "r1-pair", 200, 3)
+        out = scorer.predict(rows, scorer.random_model(TINY))
+        return out.select("id", "choice", F.size("probabilities").alias("options"))
+
+    @query()
+    def history_stream(spark, sf_dir):
+        """Events of each user as a history log, read as a stream with state per user."""
+        path = tempfile.mkdtemp(prefix="optara-log-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/history-log"
+        log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("cycle"), (F.col("value") / F.lit(100.0)).alias("accuracy"), (F.col("value") >= 90).alias("cleared"))
+        log.write.mode("overwrite").json(path)
+        return history.drain(history.champions(history.read_log(spark, path)), "history_stream")
