@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialize, partitions, shared_dir  # noqa: F401  (operators take them from here)
+
 #: A word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -20,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) one made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="optara-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut and a lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_checked(spark: SparkSession, value, size: int, what: str):
     """Broadcast a value whose size in bytes is known and below BROADCAST_BYTES."""
     if size > BROADCAST_BYTES:

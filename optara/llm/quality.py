@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_checked
+from .sample import labelled
 
 BUCKETS = 1 << 16
 MAX_TRAIN_ROWS = 8_000
@@ -84,15 +85,12 @@ def train(rows: list[tuple[bytes | None, int]], grades: int) -> Model:
     return Model(p[:BUCKETS].astype(np.float32), np.concatenate([p[BUCKETS : BUCKETS + 1], p[BUCKETS] + np.cumsum(np.exp(p[BUCKETS + 1 :]))]))
 
 
-def fit(rows: DataFrame) -> Model:
-    """A model from rows (text, grade, key) with grades 0, 1, 2, ..."""
-    rows = rows.where("grade is not null and grade >= 0").select(F.col("text").cast("string").alias("text"), F.col("grade").cast("int").alias("grade"), F.xxhash64("key").alias("h"))
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """A model from docs and labels (key, grade) with grades 0, 1, 2, ..."""
+    rows = labelled(docs, labels.where(F.col(labels.columns[1]) >= 0), MAX_TRAIN_ROWS, key, text).withColumnRenamed("label", "grade")
     n, top = rows.agg(F.count("*"), F.max("grade")).first()
     if not n or not top:
         return Model(np.zeros(BUCKETS, np.float32), np.empty(0))
-    if n > MAX_TRAIN_ROWS:
-        cut = rows.select("h").orderBy("h").limit(MAX_TRAIN_ROWS).agg(F.max("h")).first()[0]
-        rows = rows.where(F.col("h") < cut)
 
     def run(batches):
         got = [x for b in batches for x in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True)]

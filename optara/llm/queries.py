@@ -15,8 +15,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from labelled documents outside the held-out third."""
-    rated = labels.select(F.col("doc_id").alias("__id"), F.col("toxic")).where(~held_out(F.col("__id")))
-    return toxicity.fit(docs.select("doc_id", "text").join(rated, F.col("doc_id") == F.col("__id")).select("text", "toxic", F.col("doc_id").alias("key")))
+    return toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +56,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     """Grades 0 (poor), 1 (good but toxic) and 2 (good), from labelled documents outside the held-out third."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    rated = labels.where("quality is not null").select(F.col("doc_id").alias("__id"), grade.alias("grade")).where(~held_out(F.col("__id")))
-    return quality.fit(docs.select("doc_id", "text").join(rated, F.col("doc_id") == F.col("__id")).select("text", "grade", F.col("doc_id").alias("key")))
+    return quality.fit(docs, labels.where("quality is not null").where(~held_out(F.col("doc_id"))).select("doc_id", grade))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

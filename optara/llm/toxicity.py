@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_checked
+from .common import broadcast_checked, materialize
+from .sample import labelled
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of the model: labelled rows used, units kept.
@@ -141,18 +142,14 @@ def _count_words(batches):
     yield from rows()
 
 
-def fit(rows: DataFrame) -> Model:
-    """A model from rows (text, toxic 0/1, key); at most MAX_TRAIN_ROWS rows, those of least hash of key."""
-    spark = rows.sparkSession
-    rows = rows.where("toxic in (0, 1)").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.col("key")).alias("h"))
-    total = rows.count()
-    if total > MAX_TRAIN_ROWS:
-        cut = rows.select("h").orderBy("h").limit(MAX_TRAIN_ROWS).agg(F.max("h")).first()[0]
-        rows = rows.where(F.col("h") < cut)
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """A model from docs and labels (key, toxic 0/1); at most MAX_TRAIN_ROWS labelled keys, those of least hash."""
+    rows = labelled(docs, labels.where(F.col(labels.columns[1]).isin(0, 1)), MAX_TRAIN_ROWS, key, text).select("text", F.col("label").alias("toxic"))
     docs = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(docs) < 2:
         return Model()
     words = rows.select("text", "toxic").mapInArrow(_count_words, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    words = materialize(words, "toxicity-words")  # as many as the sample holds
     stems = (
         words.select(F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n)))).alias("stem"), "t", "c")
         .where("stem is not null").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("n"))

@@ -19,11 +19,12 @@ def test_ordered_grades_are_learned():
 
 
 def test_awkward_rows(spark, awkward, empty):
-    model = quality.fit(spark.createDataFrame([("good text here", 1, 1), ("BAD!! BAD!!", 0, 2), (None, 1, 3), ("x", None, 4)] * 5, "text string, grade int, key long"))
+    rows = spark.createDataFrame([("good text here", 1, 1), ("BAD!! BAD!!", 0, 2), (None, 1, 3), ("x", None, 4)] * 5, "text string, grade int, doc_id long")
+    model = quality.fit(rows, rows.select("doc_id", "grade"))
     got = quality.grade(awkward, model).collect()
     assert len(got) == awkward.count() and all(0 <= r["tail_probability"] <= 1 for r in got)
     assert quality.grade(empty, model).count() == 0
-    none = quality.fit(spark.createDataFrame([], "text string, grade int, key long"))
+    none = quality.fit(awkward, spark.createDataFrame([], "doc_id long, grade int"))
     assert {r["expected_grade"] for r in quality.grade(awkward, none).collect()} == {0.0}
 
 

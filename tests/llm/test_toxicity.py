@@ -39,7 +39,8 @@ def test_segments_match_definition():
 def trained(spark):
     clean = [(f"quiet words number {i} about calm weather and soft rain {i % 7}", 0, i) for i in range(120)]
     foul = [(f"quiet words number {i} you grubnik{e} and vile snarfle about rain", 1, 1000 + i) for i, e in zip(range(60), itertools.cycle(["a", "os", "ery", "te"]))]
-    return toxicity.fit(spark.createDataFrame([*clean, *foul, (None, 0, None), ("no label", None, 5)], "text string, toxic int, key long"))
+    rows = spark.createDataFrame([*clean, *foul, (None, 0, None), ("no label", None, 5)], "text string, toxic int, doc_id long")
+    return toxicity.fit(rows, rows.select("doc_id", "toxic"))
 
 
 def test_words_and_stems_are_learned(trained):
@@ -59,7 +60,7 @@ def test_awkward_rows(spark, trained, awkward, empty):
 
 
 def test_one_class_scores_nothing(spark, awkward):
-    model = toxicity.fit(spark.createDataFrame([("a b", 0, 1)], "text string, toxic int, key long"))
+    model = toxicity.fit(awkward, spark.createDataFrame([(1, 0), (1, None), (None, 1), (99, 1)], "doc_id long, toxic int"))
     assert all(r["score"] < 1e-6 for r in toxicity.score(awkward, model).collect())
 
 
