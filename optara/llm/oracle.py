@@ -98,4 +98,44 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.b, d
 from d left join n using (doc_id) left join m on m.a = d.doc_id
 """
 
-ORACLES = {"op2_url_filter": _URL, "op3_minhash": _NEAR, "op5_mixing": _MIX, "op6_chat": _CHAT, "op7_topk": _TOPK, "op8_exact_dedup": _DEDUP}
+
+def _matches(kind: str, place: int, pattern: str) -> str:
+    """Leftmost matches of a pattern with their starts: the pieces between matches give the offsets."""
+    return f"""select doc_id, t, '{kind}' as kind, {place} as place, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) as bigint), 'm': m[i]}})) as x
+  from (select doc_id, t, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as p from d) where len(m) > 0"""
+
+
+_CARD = r"[0-9](?:[\x20-]?[0-9])+"
+_PII_PARTS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"), ("card", _CARD), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b"), ("national_phone", r"(?:\([0-9]{2,5}\)\x20?|0)[0-9]+(?:[\x20.-][0-9]+)+"), ("short_card", _CARD),
+    ("secret", r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,})\b"),
+)
+_LUHN = "list_sum(list_transform(range(1, length(g) + 1), lambda i: case when i % 2 = 0 then cast(reverse(g)[i] as integer) * 2 - case when cast(reverse(g)[i] as integer) > 4 then 9 else 0 end else cast(reverse(g)[i] as integer) end)) % 10 = 0"
+_APART = "not exists (select 1 from {taken} b where b.doc_id is not distinct from c.doc_id and b.s < c.e and c.s < b.e)"
+
+
+def _pii() -> str:
+    found = " union all ".join(_matches(kind, i, pattern) for i, (kind, pattern) in enumerate(_PII_PARTS))
+    near = lambda words: f"regexp_matches(translate(substr(t, greatest(s - 40, 0) + 1, least(s, 40)) || ' ' || substr(t, e + 1, 40), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:^|[^a-z])(?:{words})')"
+    out = rf"""with d as (select doc_id, coalesce(text, '') as t from documents),
+f as materialized (select doc_id, t, kind, place, x.s as s, x.s + length(x.m) as e, x.m as m, regexp_replace(x.m, '[^0-9]', '', 'g') as g, replace(x.m, ' ', '') as w from ({found})),
+c as materialized (select * from f where case kind when 'email' then true
+  when 'ip' then len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or try_cast(p as bigint) > 255)) = 0
+  when 'card' then length(g) between 16 and 19 and {_LUHN}
+  when 'phone' then length(g) between 8 and 15
+  when 'iban' then length(w) between 15 and 34 and list_reduce(list_prepend(cast(0 as bigint), list_transform(string_split(regexp_replace(substr(w, 5) || substr(w, 1, 4), '(.)', '\1 ', 'g'), ' '), lambda z: case when z = '' then null when z between '0' and '9' then cast(z as bigint) else cast(ascii(z) - 55 as bigint) end)),
+    lambda a, z: case when z is null then a when z > 9 then (a * 100 + z) % 97 else (a * 10 + z) % 97 end) = 1
+  when 'national_phone' then length(g) between 8 and 13 and (s = 0 or not regexp_matches(substr(t, s, 1), '[0-9+.-]')) and {near('phone|tel|call|mobile|fax|telefon|tfno')}
+  when 'short_card' then length(g) between 13 and 15 and {_LUHN} and {near('card|visa|credit|payment|amex|karte|tarjeta|carte')}
+  else true end),
+a0 as materialized (select doc_id, kind, place, s, e from c where place < 4)"""
+    for step in range(4):
+        out += f",\na{step + 1} as materialized (select * from a{step} union all select doc_id, kind, place, s, e from c where place = {4 + step} and {_APART.format(taken=f'a{step}')})"
+    total = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k, _ in _PII_PARTS[:4])
+    return out + rf""",
+g as (select doc_id, {total}, coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by place, s) filter (where place < 4), '') as base, string_agg(kind || ':' || s || ':' || e, ',' order by place, s) as spans from a4 group by doc_id)
+select d.doc_id, {', '.join(f'coalesce(n_{k}, 0) as n_{k}' for k, _ in _PII_PARTS[:4])}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join g on g.doc_id is not distinct from d.doc_id"""
+
+
+ORACLES = {"op2_url_filter": _URL, "op3_minhash": _NEAR, "op4_pii": _pii(), "op5_mixing": _MIX, "op6_chat": _CHAT, "op7_topk": _TOPK, "op8_exact_dedup": _DEDUP}

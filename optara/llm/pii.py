@@ -29,9 +29,9 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
-NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\)\x20?|0)[0-9]+(?:[\x20.-][0-9]+)+(?![0-9])")
-SECRET = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,})\b")
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", re.ASCII)
+NATIONAL = re.compile(r"(?:\([0-9]{2,5}\)\x20?|0)[0-9]+(?:[\x20.-][0-9]+)+")
+SECRET = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,})\b", re.ASCII)
 
 #: prior score and context words by kind; a word raises the score by BONUS.
 BONUS = 0.35
@@ -90,15 +90,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
-    out += [("national_phone", m.start(), m.end()) for m in NATIONAL.finditer(text) if 8 <= len(digits(m[0])) <= 13]
+    if ")" in text or "0" in text:
+        out += [("national_phone", m.start(), m.end()) for m in NATIONAL.finditer(text) if 8 <= len(digits(m[0])) <= 13 and text[m.start() - 1 : m.start()] not in tuple("0123456789+.-")]
     out += [("short_card", m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := digits(m[0])) <= 15 and luhn(d)]
     return out + [("secret", m.start(), m.end()) for m in SECRET.finditer(text)]
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_NEAR = {kind: re.compile("(?:^|[^a-z])(?:" + "|".join(words) + ")") for kind, (_, words) in CONTEXT.items()}
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
-    prior, words = CONTEXT[kind]
-    near = re.findall(r"[^\W\d_]+", (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower())
-    return min(1.0, prior + BONUS * any(w.startswith(words) for w in near))
+    near = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".translate(_LOWER)
+    return min(1.0, CONTEXT[kind][0] + BONUS * bool(_NEAR[kind].search(near)))
 
 
 def find(text: str | None) -> list[Span]:
