@@ -12,7 +12,7 @@ from ..shared import materialize
 from . import pick
 
 CAPPED_SHARE, SODIUM_SHARE = 0.6, 0.5
-BLOCK, MOST_BLOCKS = 8, 128  # attempts tried at once, blocks before giving up
+BLOCKS = (8, 24, 96, 384, 1536)  # attempts tried at once, ever more for ever fewer rows
 KINDS = {"r0-most": (2,), "r1-pair": (2,), "r2-panel": (2, 3, 4), "r3-units": (3, 4, 5), "r4-constraints": (3, 4, 5)}
 
 
@@ -31,9 +31,9 @@ def _name(lang: Column, item: Column, *key: Column | str) -> Column:
     return F.concat(choose(list(W.BRANDS), _u(*key, "brand")), F.lit(" · "), X.capitalize(item), F.lit(" "), (F.floor(_u(*key, "number") * 99) + 1).cast("string"))
 
 
-def _attempt(rows: DataFrame, block: int) -> DataFrame:
-    """Rows that found an acceptable set of values in this block of attempts, with the first one found."""
-    tries = rows.withColumn("attempt", F.explode(F.sequence(F.lit(block * BLOCK), F.lit(block * BLOCK + BLOCK - 1))))
+def _attempt(rows: DataFrame, first_attempt: int, attempts: int) -> DataFrame:
+    """Rows that found an acceptable set of values in these attempts, with the first one found."""
+    tries = rows.withColumn("attempt", F.explode(F.sequence(F.lit(first_attempt), F.lit(first_attempt + attempts - 1))))
     key = (F.col("id"), F.col("attempt"))
     panel = lambda i: F.struct(*(_value(n, *key, i).alias(n) for n in W.NUTRIENTS))
     tries = tries.withColumn("panels", F.transform(F.sequence(F.lit(0), F.col("k") - 1), panel))
@@ -73,8 +73,8 @@ def rows(rungs: DataFrame, seed: int) -> DataFrame:
         k = F.when(F.col("rung") == rung, choose(list(sizes), one("k"))).otherwise(k)
     base = base.withColumn("k", k).withColumn("capped", (F.col("rung") == "r4-constraints") & (one("capped") < CAPPED_SHARE))
     found, left = None, base
-    for block in range(MOST_BLOCKS):
-        got = materialize(_attempt(left, block), "synth")
+    for i, attempts in enumerate(BLOCKS):
+        got = materialize(_attempt(left, sum(BLOCKS[:i]), attempts), "synth")
         found = got if found is None else found.unionByName(got)
         left = left.join(got.select("id"), "id", "left_anti")
         if left.isEmpty():
@@ -92,7 +92,7 @@ def _render(found: DataFrame) -> DataFrame:
 
     def text(p: Column, i: Column) -> Column:
         value = F.create_map(*(x for n in W.NUTRIENTS for x in (F.lit(n), p[n])))[F.col("asked")]
-        short = F.concat(of(W.PRINTED, F.col("asked")), F.lit(" "), fmt_plain(value), F.when(F.col("asked") == "energy", " kcal").otherwise(" g"))
+        short = F.concat(of(W.PRINTED, F.col("asked")), F.lit(" "), let(value, fmt_plain), F.when(F.col("asked") == "energy", " kcal").otherwise(" g"))
         numbers = F.array(*(fmt_plain(p[n]) for n in W.NUTRIENTS), F.rint(p["salt"] * F.lit(400.0)).cast("bigint").cast("string"))
         body = X.panel_text(numbers, F.col("lang"), sodium(i))
         named = F.when(F.col("rung").isin("r3-units", "r4-constraints"), F.concat(_name(F.col("lang"), F.col("item"), F.col("s"), i), F.lit(". "), body)).otherwise(body)

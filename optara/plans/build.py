@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import argparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +42,3 @@ def leaks(train: DataFrame, dev: DataFrame) -> DataFrame:
     """One row (shared): products on both sides of the split."""
     codes = lambda df: df.select(F.explode(F.split(F.regexp_replace("group_id", "^off/", ""), r"\+")).alias("code"))
     return relations.disjoint(codes(train), codes(dev), ["code"])
-
-
-def main(argv: list[str] | None = None) -> int:
-    cli = argparse.ArgumentParser(description="Build decision rows from a product dump.")
-    cli.add_argument("dump")
-    cli.add_argument("--out", default="work/off")
-    cli.add_argument("--per-category", type=int, default=12)
-    cli.add_argument("--seed", type=int, default=SEED)
-    args = cli.parse_args(argv)
-    print(build(SparkSession.builder.getOrCreate(), args.dump, args.out, args.per_category, args.seed))
-    return 0

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..operators import episodes, scorer, synth, systems
+from ..shared import shared_dir
 from ..streaming import history
 from . import benchmark
 from .decisions import table
@@ -63,7 +64,7 @@ def register(query) -> None:
     @query()
     def history_stream(spark, sf_dir):
         """Events of each user as a history log, read as a stream with state per user."""
-        path = tempfile.mkdtemp(prefix="optara-log-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/history-log"
+        path = f"{shared_dir(spark)}/history-log-{uuid.uuid4().hex}"
         log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("cycle"), (F.col("value") / F.lit(100.0)).alias("accuracy"), (F.col("value") >= 90).alias("cleared"))
-        log.write.mode("overwrite").json(path)
+        log.write.json(path)
         return history.drain(history.champions(history.read_log(spark, path)), "history_stream")

@@ -5,6 +5,7 @@ The batch views of the same log are in operators.relations; the state here is on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shared import shared_dir
+
 EVENT = "run string, cycle long, accuracy double, cleared boolean"
 OUT = "run string, cycle long, accuracy double, best_before double, champion boolean, rung_index long"
 STATE = "best double, cleared long, last long"
@@ -52,9 +55,10 @@ def hourly(events: DataFrame, late: str = "1 hour", every: str = "1 hour") -> Da
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "mean")
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return its result as a table."""
+def drain(df: DataFrame, name: str) -> DataFrame:
+    """Run an appending stream over what is there, into files of the shared folder, and read them as a table."""
     spark = df.sparkSession
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    query = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{path}/out")

@@ -135,3 +135,13 @@ def test_report(spark, dump, tmp_path):
     assert text[6].startswith("| rules |") and text[7].startswith("| m (cpu) |") and any(t.startswith("Chance") for t in text)
     write_lines(lines, str(tmp_path / "report"), "n")
     assert write_jsonl(some, str(tmp_path / "rows")) == read_jsonl(spark, str(tmp_path / "rows")).count()
+
+
+def test_command_line(spark, dump, tmp_path):
+    from optara import cli
+
+    assert cli.main(["build", dump, "--out", str(tmp_path / "off"), "--per-category", "3"]) == 0
+    assert cli.main(["bench", str(tmp_path / "off/train"), "--raw", str(tmp_path / "raw"), "--limit", "20"]) == 0
+    assert cli.main(["report", "--raw", str(tmp_path / "raw"), "--out", str(tmp_path / "report")]) == 0
+    assert cli.main(["rungs", "r1-pair", "--rows", "5", "--out", str(tmp_path / "rungs")]) == 0
+    assert read_jsonl(spark, str(tmp_path / "rungs")).count() == 5
