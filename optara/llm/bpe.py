@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a public tokenizer; long unsplit pieces by tree concatenation.
 
-Text is cut at ASCII white space, which this kind of tokenizer always treats as a boundary, and every distinct piece is
-encoded once per task. A pre-token longer than LEAF symbols is encoded as a tree: its halves are encoded on their own (the
+Tokenizers of the word kind (WORD_SPLIT) drop white space and never merge across it: their texts are cut at ASCII white
+space, and pieces are encoded once while a process remembers them. Texts of other kinds go to the library whole. A pre-token longer than LEAF symbols is encoded as a tree: its halves are encoded on their own (the
 leaves together in one parallel call), then a window around each join is re-encoded and grown until its first token is
 the left half's token there and one of its later tokens is the right half's token there. A sequence of tokens is a
 valid encoding exactly if each adjacent pair is, and all pairs of the joined sequence lie in the left half, the window
@@ -14,7 +14,10 @@ whole texts are encoded, however long; an empty table gives an empty result; ext
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -25,7 +28,22 @@ from pyspark.sql import types as T
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
 LEAF = 2048  # characters of a pre-token encoded in one go
 WINDOW = 32  # tokens on each side of a join at first
-REMEMBER = 400_000  # pieces kept in a task
+REMEMBER = 300_000  # pieces kept in a process, in each of two generations
+#: Fixed value: the pre-tokenizer pattern of the word kind.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A piece of Latin letters and closing punctuation: two pre-tokens, whose letters lower-case one by one.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
+
+def byte_symbols() -> list[str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+#: Lower-case letters of SIMPLE beyond ASCII as the byte-level step writes them.
+LATIN = {c: "".join(byte_symbols()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if c != 0xF7}
 
 
 @cache
@@ -39,37 +57,70 @@ def load(path: str):
     return tokenizer
 
 
+@cache
+def load_bare(path: str):
+    """The file's model alone, for strings that are normalised and pre-tokenized already."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(load(path).to_str()) | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
+class Recent(dict):
+    """A dictionary of two generations: what isn't asked for while one fills up is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def find(self, key):
+        found = self.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+@contextmanager
+def parallel(wanted: bool):
+    """Let the library use threads for the leaves of a tree; for small batches they cost more than they bring."""
+    before = os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if wanted else "false"
+    try:
+        yield
+    finally:
+        os.environ.pop("TOKENIZERS_PARALLELISM")
+        if before is not None:
+            os.environ["TOKENIZERS_PARALLELISM"] = before
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 class Encoder:
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
-        self.tokenizer, self.leaf, self.window = load(path), leaf, window
+        self.tokenizer, self.bare, self.leaf, self.window = load(path), load_bare(path), leaf, window
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.pieces: dict[str, tuple[int, str]] = {}
-
-    def model(self, symbols: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(id, start, end) of each pre-tokenized string's tokens, all in one parallel call of the model."""
-        out = []
-        for s in symbols:
-            out.append([(t.id, *t.offsets) for t in self.tokenizer.model.tokenize(s)])
-        return out
-
-    def _offsets(self, tokens: list[tuple[int, int, int]], s: str) -> list[tuple[int, int]]:
-        """Tokens as (id, end) with ends in symbols of s."""
-        raw, ends, at = s, [], 0
-        for i, a, b in tokens:
-            at = b
-            ends.append((i, at))
-        assert not ends or ends[-1][1] in (len(raw), len(raw.encode())), "offsets don't cover the piece"
-        if ends and ends[-1][1] != len(raw):  # the model counts bytes of the mapped symbols
-            place, total = {0: 0}, 0
-            for k, c in enumerate(raw, 1):
-                total += len(c.encode())
-                place[total] = k
-            ends = [(i, place[e]) for i, e in ends]
-        return ends
+        spec = json.loads(self.tokenizer.to_str())
+        spec = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        self.by_words = json.dumps(WORD_SPLIT) in spec and '"Lowercase"' in spec
+        self.spaced = self.by_words and self.tokenizer.decoder is None  # then decoding joins the tokens by spaces
+        self.names = {i: w for w, i in self.tokenizer.get_vocab().items()} if self.spaced else {}
+        self.pieces: Recent = Recent(REMEMBER)  # piece -> (tokens, ids as text, decoded)
+        self.words: Recent = Recent(REMEMBER)  # lower-case word or punctuation -> the same
 
     def encode_symbols(self, symbols: list[str]) -> list[list[tuple[int, int]]]:
-        return [self._offsets(t, s) for t, s in zip(self.model(symbols), symbols, strict=True)]
+        """(id, end) of each pre-tokenized string's tokens, ends in characters; the strings are encoded in parallel."""
+        with parallel(len(symbols) > 1):
+            got = self.bare.encode_batch(symbols, add_special_tokens=False)
+        return [[(i, b) for i, (_, b) in zip(e.ids, e.offsets, strict=True)] for e in got]
 
     def tree(self, s: str) -> list[int]:
         """Ids of one pre-token by tree concatenation."""
@@ -119,37 +170,61 @@ class Encoder:
                 continue
             normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
             pre = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
-            short = iter(self.model([p for p in pre if len(p) <= self.leaf]))
+            short = iter(self.encode_symbols([p for p in pre if len(p) <= self.leaf]))
             for p in pre:
-                out += [t[0] for t in next(short)] if len(p) <= self.leaf else self.tree(p)
+                out += [i for i, _ in next(short)] if len(p) <= self.leaf else self.tree(p)
         return out
 
-    def text(self, text: str | None) -> tuple[int, str]:
-        """Number of tokens and their ids as decimals joined by one space."""
-        if not text:
-            return 0, ""
-        seen, n, out = self.pieces, 0, []
-        found = PIECE.findall(text)
-        new = [p for p in dict.fromkeys(found) if p not in seen]
-        if len(seen) + len(new) > REMEMBER:
-            seen.clear()
-            new = list(dict.fromkeys(found))
-        short = [p for p in new if len(p) <= self.leaf]
-        for p, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            seen[p] = (len(e.ids), " ".join(map(str, e.ids)))
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), self.tokenizer.decode(ids, skip_special_tokens=False)
+
+    def _spaced(self, ids: list[int]) -> tuple[int, str, str]:
+        """The same where decoding joins tokens by spaces."""
+        return len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+
+    def _learn(self, new: list[str]) -> None:
+        """Put new pieces into the caches."""
+        simple, short = {}, []
         for p in new:
             if len(p) > self.leaf:
-                ids = self.piece(p)
-                seen[p] = (len(ids), " ".join(map(str, ids)))
-        for p in found:
-            k, ids = seen[p]
-            if k:
-                n += k
-                out.append(ids)
-        return n, " ".join(out)
-
-    def decode(self, ids: str) -> str:
-        return self.tokenizer.decode([int(i) for i in ids.split()], skip_special_tokens=False)
+                self.pieces.put(p, self._entry(self.piece(p)))
+            elif m := SIMPLE.fullmatch(p):
+                simple[p] = (m[1].lower(), m[2])
+            else:
+                short.append(p)
+        parts = [w for w in dict.fromkeys(x for pair in simple.values() for x in pair if x) if self.words.find(w) is None]
+        # Lower-case letters and marks of SIMPLE are pre-tokens already, but for their bytes beyond ASCII.
+        got = self.bare.encode_batch_fast([w.translate(LATIN) for w in parts], add_special_tokens=False)
+        got += self.tokenizer.encode_batch_fast(short, add_special_tokens=False)
+        made = {}
+        for w, e in zip(parts, got, strict=False):
+            made[w] = self._spaced(e.ids)
+            self.words.put(w, made[w])
+        for p, (w, mark) in simple.items():
+            n, ids, text = made.get(w) or self.words.find(w) or self._entry(self.piece(w))
+            if mark:
+                k, more, end = made.get(mark) or self.words.find(mark) or self._entry(self.piece(mark))
+                n, ids, text = n + k, f"{ids} {more}", f"{text} {end}"
+            self.pieces.put(p, (n, ids, text))
+        for p, e in zip(short, got[len(parts) :], strict=True):
+            self.pieces.put(p, self._spaced(e.ids))
+
+    def text(self, text: str | None) -> tuple[int, str, str]:
+        """Number of tokens, their ids as decimals joined by one space, and the decoded text."""
+        if not text:
+            return 0, "", ""
+        if not self.spaced:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return self._entry(ids)
+        found = PIECE.findall(text)
+        got = list(map(self.pieces.get, found))
+        if None in got:
+            missing = dict.fromkeys(p for p, g in zip(found, got, strict=True) if g is None)
+            self._learn([p for p in missing if self.pieces.find(p) is None])
+            find = self.pieces.find
+            got = [find(p) or self._entry(self.piece(p)) if g is None else g for p, g in zip(found, got, strict=True)]
+        got = [g for g in got if g[0]]
+        return sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
@@ -161,12 +236,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     schema = T.StructType([*frame.schema.fields[:-1], *(T.StructField(n, t) for n, t, _ in made)])
 
     def run(batches):
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             cols = [[] for _ in made]
             for t in batch.column(len(keep)).to_pylist():
-                n, ids = encoder.text(t)
-                decoded = encoder.decode(ids)
+                with parallel(False):
+                    n, ids, decoded = own.text(t)
                 row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
                 if with_ids:
                     row += [[int(i) for i in ids.split()], decoded]
