@@ -21,7 +21,7 @@ from .common import WORD, materialize
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-RANGE_ROWS = 20_000  # rows of a source in one key range, about
+RANGE_ROWS = 4_000  # rows of a source in one key range, about
 
 
 def size_of(text: Column) -> Column:
