@@ -8,20 +8,19 @@ import tempfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-EPISODE = T.StructType.fromDDL(
+EPISODE = (
     "id string, state string, question string, candidates array<struct<id: string, text: string>>, answer string, group_id string, lang string, capability string, "
     "domain string, difficulty string, decidable boolean, origin string, license string, source_id string"
 )
-HISTORY = T.StructType.fromDDL("cycle int, rung string, accuracy double, chance double, wilson_lower double, rows int, loss double, train_rows int, cleared boolean, seconds double, at timestamp")
-RESULT = T.StructType.fromDDL(
+HISTORY = ("cycle int, rung string, accuracy double, chance double, wilson_lower double, rows int, loss double, train_rows int, cleared boolean, seconds double, at timestamp")
+RESULT = (
     "system struct<name: string, kind: string, device: string>, rows long, hits long, accuracy double, wilson_lower double, decidable_rows long, decidable_accuracy double, chance double, unparsed long, "
     "`by` map<string, struct<accuracy: double, rows: long>>, latency_ms struct<p50: double, p95: double, mean: double>, batched_decisions_per_s double"
 )
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = EPISODE) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str = EPISODE) -> DataFrame:
     """One row per line; blank lines are skipped and bad ones raise."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -47,7 +46,7 @@ def write_json(path: str, document: dict) -> None:
     os.replace(name, path)
 
 
-def read_documents(spark: SparkSession, folder: str, schema: T.StructType = RESULT) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, schema: str = RESULT) -> DataFrame:
     """A folder of JSON documents, each a row with its file's name, sorted by it."""
     return spark.read.schema(schema).option("multiLine", True).json(folder).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).orderBy("file")
 

@@ -35,7 +35,7 @@ def dump(tmp_path_factory):
 def test_dirty_rows(spark, tmp_path):
     lines = [
         line("0000000000001", 'A "quoted name'), line("2", "  \t".strip("\t")), line("3", sugars="1.5f"), line("4", sugars="1_0"), line("5", sugars="1e1"), line("6", sugars="nan"), line("7", sugars="inf"),
-        line("8", energy="0"), line("9", energy="900"), line("10", fat="100"), line("11", fat="100.01"), line("12", salt="1", sodium="0.44"), line("13", salt="1", sodium="0.4401"), line("14", salt="0", sodium="-0.01"),
+        line("8", energy="0"), line("9", energy="900"), line("10", fat="100"), line("11", fat="100.01"), line("12", salt="1", sodium="0.4399"), line("13", salt="1", sodium="0.44"), line("14", salt="0", sodium="-0.01"),
         line("15", country="France"), line("16", country="France,United States,Spain"), line("17", category="en:x"), line("18", sugars="bad"), line("18", "second"), line("19", "first"), line("19", "later"), line("20", categories=""), "21\tshort", "",
         line("22", "n" * 100, "b" * 50, "q" * 30),
     ]
