@@ -58,10 +58,19 @@ def printed(value: Column) -> Column:
     return F.when(value >= 100, F.rint(value)).otherwise(round1(value))
 
 
+def _written_plain(value: Column, t: Column) -> Column:
+    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(F.concat(F.floor(t / 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string")))
+
+
 def fmt_plain(value: Column) -> Column:
     """An integer where the value is whole, else one decimal."""
-    t = tenths(value).cast("bigint")
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(F.concat(F.floor(t / 10).cast("string"), F.lit("."), F.pmod(t, F.lit(10)).cast("string")))
+    return _written_plain(value, tenths(value).cast("bigint"))
+
+
+def fmt_plain_all(values: Column) -> Column:
+    """fmt_plain of each element of an array of doubles."""
+    pairs = F.transform(values, lambda v: F.struct(v.alias("v"), tenths(v).cast("bigint").alias("t")))
+    return F.transform(pairs, lambda p: _written_plain(p["v"], p["t"]))
 
 
 def percent(value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import words as W
-from ..functions.exact import choose, field, fmt_plain, let, round1
+from ..functions.exact import choose, field, fmt_plain, fmt_plain_all, let, round1
 from ..shared import materialize
 from . import pick
 
@@ -93,8 +93,8 @@ def _render(found: DataFrame) -> DataFrame:
     def text(p: Column, i: Column) -> Column:
         value = F.create_map(*(x for n in W.NUTRIENTS for x in (F.lit(n), p[n])))[F.col("asked")]
         short = F.concat(of(W.PRINTED, F.col("asked")), F.lit(" "), let(value, fmt_plain), F.when(F.col("asked") == "energy", " kcal").otherwise(" g"))
-        numbers = F.array(*(fmt_plain(p[n]) for n in W.NUTRIENTS), F.rint(p["salt"] * F.lit(400.0)).cast("bigint").cast("string"))
-        body = X.panel_text(numbers, F.col("lang"), sodium(i))
+        numbers = F.concat(fmt_plain_all(F.array(*(p[n] for n in W.NUTRIENTS))), F.array(F.rint(p["salt"] * F.lit(400.0)).cast("bigint").cast("string")))
+        body = let(numbers, lambda n: X.panel_text(n, F.col("lang"), sodium(i)))
         named = F.when(F.col("rung").isin("r3-units", "r4-constraints"), F.concat(_name(F.col("lang"), F.col("item"), F.col("s"), i), F.lit(". "), body)).otherwise(body)
         return F.when(pair, short).otherwise(named)
 
