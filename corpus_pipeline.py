@@ -20,12 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _keep(docs, exact_dedup.groups(docs).where("kept").select("doc_id"))
+    return _without_copies(docs, exact_dedup.groups(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each group that shares 80% or more of its five-word shingles."""
-    return _keep(docs, minhash.groups(docs, percent=80).where("kept").select("doc_id"))
+    return _without_copies(docs, minhash.groups(docs, percent=80))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+def _without_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the ids of which no row is kept.
+
+    The dropped ids are written first: where their files are small enough to broadcast, Spark sees that beforehand and no
+    text is shuffled for the join; where they aren't, it is an ordinary one.
+    """
+    dropped = groups.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
+    dropped = materialize(dropped, "dropped-ids")
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__id"]), "left_anti")
