@@ -412,7 +412,7 @@ def file_manifest(spark, sf_dir):
 
 @query(f"""with {_SCORED}, s as (select source as label, count(*) as rows, count(*) filter (where choice = answer) as hits, count(*) filter (where coalesce(decidable, true)) as dr, count(*) filter (where coalesce(decidable, true) and choice = answer) as dh,
   median(doc_id % 100 + 0.25) as p50, max(doc_id % 100) + 0.25 as p95 from e group by 1),
-t as (select *, hits / rows as a, {_WILSON.format('hits', 'rows')} as w, dh / dr as d from s)
+t as (select *, hits / rows as a, {_WILSON.format("hits", "rows")} as w, case when dr > 0 then dh / dr end as d from s)
 select row_number() over (order by a desc, label) as rank, '| ' || label || ' | ' || rows || ' | ' || printf('%.1f', 100 * a) || ' | ' || printf('%.1f', 100 * w) || ' | ' || coalesce(printf('%.1f', 100 * d), '') || ' | ' || printf('%.1f', p50 + 0.01) || ' | ' || printf('%.1f', p95 + 0.01) || ' |' as line from t""")
 def leaderboard_pivot(spark, sf_dir):
     e = _scored(spark, sf_dir)
