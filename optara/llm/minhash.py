@@ -35,7 +35,7 @@ PERMUTATIONS = BANDS * ROWS
 MARGIN = 0.19  # about five standard deviations of the estimate at 0.85
 BUCKET_BLOCK = 512  # members of a bucket compared at once
 CLUSTER_BLOCK, CLUSTER_SHINGLES = 256, 400_000  # documents and shingles of a cluster compared at once
-REMEMBER = 1_000_000  # word hashes kept in a task
+REMEMBER = 500_000  # word hashes kept in a task
 
 _rng = np.random.default_rng(20_240_817)
 _MULTIPLY = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)

@@ -6,7 +6,7 @@ Dirichlet prior (two classes) centred on its parent's share, the parent of a wor
 stem and of a stem the whole sample; the log-odds against the base share, less a fixed cost per word,
 is the word's score. Scoring finds all maximal scoring segments of a text in one linear scan
 (Ruzzo and Tompa) and turns their scores into E-values with the extreme-value law of Karlin and
-Altschul, whose parameters come from the untoxic rows of the sample. Significant segments are joined
+Altschul, whose parameters come from the untoxic rows of the sample. Significant segments, each distinct one once, are joined
 by the sum statistic, and a logistic curve fitted on the sample maps it to 0..1.
 
 Defined results: null and empty texts hold no word and get the score of a text without a passage;
@@ -86,7 +86,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class Scorer:
     """Scores texts with a model; words' scores are remembered within bounds."""
 
-    def __init__(self, model: Model, remember: int = 500_000):
+    def __init__(self, model: Model, remember: int = 300_000):
         self.model, self.seen, self.remember = model, {}, remember
 
     def _scores(self, words: list[str]) -> np.ndarray:
@@ -101,17 +101,28 @@ class Scorer:
             out.append(s)
         return np.array(out)
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of words, and the maximal segments as word positions with scores."""
+    def scan(self, text: str | None) -> tuple[list[str], list[tuple[int, int, float]]]:
+        """The words, and the maximal segments as word positions with scores; a word said again at once adds nothing."""
         words = TOKEN.findall(text.lower()) if text else []
-        return len(words), segments(self._scores(words)) if words else []
-
-    def statistic(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, int]:
+        if not words:
+            return words, []
+        scores = self._scores(words)
+        for i in np.flatnonzero(scores > 0).tolist():
+            if i and words[i] == words[i - 1]:
+                scores[i] = -COST
+        return words, segments(scores)
+
+    def evidence(self, text: str | None) -> tuple[int, list[float]]:
+        """Number of words, and the scores of the distinct segments: a line that is repeated counts once."""
+        words, found = self.scan(text)
+        return len(words), list({tuple(words[s:e]): v for s, e, v in found}.values())
+
+    def statistic(self, n: int, found: list[float]) -> tuple[float, int]:
         """-ln of the p-value of the joined passages, and the number of significant ones."""
         if not found:
             return 0.0, 0
         base = math.log(self.model.k * n)
-        x = sorted((self.model.lam * s - base for _, _, s in found), reverse=True)
+        x = sorted((self.model.lam * s - base for s in found), reverse=True)
         strong = [v for v in x if v > -math.log(SIGNIFICANT)]
         if not strong:
             return -math.log(max(1e-12, 1 - math.exp(-math.exp(min(50.0, -x[0]))))), 0
@@ -119,8 +130,7 @@ class Scorer:
         return max(strong[0], t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r)), r
 
     def score(self, text: str | None) -> tuple[float, int, float]:
-        n, found = self.passages(text)
-        stat, r = self.statistic(n, found)
+        stat, r = self.statistic(*self.evidence(text))
         z = self.model.slope * math.log1p(stat) + self.model.bias
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z)))), r, stat
 
@@ -164,17 +174,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def value(p: float) -> float:
         return max(-TOP, min(TOP, logit(min(1 - 1e-9, max(1e-9, p))) - logit(base)))
 
-    # Units that say no more than the base share would only add noise: z of the share against the base.
+    candidates = [top(stems.where(f"t + c >= {MIN_COUNT} and n >= {MIN_WORDS}"), MAX_UNITS // 2), top(words.where(f"t + c >= {MIN_COUNT}"), MAX_UNITS // 2)]
+    least = 2 * math.log(max(2, sum(map(len, candidates))))
+
+    # Units that say no more than the base share would only add noise: a likelihood ratio that holds for all units at once.
     def telling(t: int, c: int) -> bool:
         n = t + c
-        return (t - n * base) / math.sqrt(n * base * (1 - base)) > 4 and t / n > 0.5
+        ratio = sum(2 * x * math.log(x / (n * p)) for x, p in ((t, base), (c, 1 - base)) if x)
+        return t / n > 0.5 and ratio > least
 
     model, shares = Model(), {}
-    for r in top(stems.where(f"t + c >= {MIN_COUNT} and n >= {MIN_WORDS}"), MAX_UNITS // 2):
+    for r in candidates[0]:
         shares[r["stem"]] = share(r["t"], r["c"], base)
         if telling(r["t"], r["c"]):
             model.stems[r["stem"]] = value(shares[r["stem"]]) - COST
-    for r in top(words.where(f"t + c >= {MIN_COUNT}"), MAX_UNITS // 2):
+    for r in candidates[1]:
         stem = next((s for n in range(min(len(r["word"]), STEMS[-1]), STEMS[0] - 1, -1) if (s := r["word"][:n]) in model.stems), None)
         p = share(r["t"], r["c"], shares[stem] if stem else base)
         if telling(r["t"], r["c"]):
@@ -195,8 +209,8 @@ def _calibrate(model: Model, rows: DataFrame, untoxic: int) -> None:
     def scan(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            got = [scorer.passages(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "n": [n for n, _ in got], "s": [[s for *_, s in f] for _, f in got]}, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
+            got = [scorer.evidence(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "n": [n for n, _ in got], "s": [s for _, s in got]}, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
 
     got = rows.select("text", "toxic").mapInArrow(scan, "toxic int, n long, s array<double>").collect()
     n = sum(r["n"] for r in got if not r["toxic"]) or 1
@@ -213,7 +227,7 @@ def _calibrate(model: Model, rows: DataFrame, untoxic: int) -> None:
     model.k = (len(high) + 1) / n * math.exp(lo * (min(high) if high else step))
     model.k = min(1.0, max(1e-9, model.k))
     scorer = Scorer(model)
-    x = np.array([math.log1p(scorer.statistic(r["n"], [(0, 0, s) for s in r["s"]])[0]) for r in got])
+    x = np.array([math.log1p(scorer.statistic(r["n"], r["s"])[0]) for r in got])
     y = np.array([float(r["toxic"]) for r in got])
     y = (y * (y.sum() + 1) / (y.sum() + 2)) + (1 - y) / (len(y) - y.sum() + 2)  # targets as Platt sets them
     a, b = 0.0, math.log(max(1e-9, y.mean()) / max(1e-9, 1 - y.mean()))
@@ -261,10 +275,9 @@ def passages(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
         for batch in batches:
             take, rows = [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                n, found = scorer.passages(t)
-                words = TOKEN.findall(t.lower()) if found else []
+                words, found = scorer.scan(t)
                 for s, e, v in found:
-                    if (ev := scorer.model.k * n * math.exp(-scorer.model.lam * v)) <= SIGNIFICANT:
+                    if (ev := scorer.model.k * len(words) * math.exp(-scorer.model.lam * v)) <= SIGNIFICANT:
                         take.append(i)
                         rows.append((s, e, v, ev, " ".join(words[s:e])))
             cols = list(zip(*rows, strict=True)) or [()] * 5
