@@ -41,3 +41,11 @@ def test_windowed_counts(spark, tmp_path):
 
 def test_public_names():
     assert all(hasattr(api, n) for n in api.__all__)
+
+
+def test_written_tables_can_be_cleared(spark):
+    from optara import shared
+
+    shared.clear(spark)
+    df = shared.materialize(spark.range(3), "test")
+    assert df.count() == 3 and shared.clear(spark) == 1 and shared.clear(spark) == 0
