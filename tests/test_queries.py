@@ -50,4 +50,4 @@ def test_entry(spark):
 
 def test_corpus_operators_are_optional():
     have = importlib.util.find_spec("optara.llm") is not None
-    assert ("pipeline" in entry.queries()) == have
+    assert ("op1_toxicity" in entry.queries()) == have and ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
