@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frugal
+
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
 LEAF = 2048  # characters of a pre-token encoded in one go
 WINDOW = 32  # tokens on each side of a join at first
-REMEMBER = 300_000  # pieces kept in a process, in each of two generations
+REMEMBER = 160_000  # pieces, and words, kept in a process in each of two generations
 #: Fixed value: the pre-tokenizer pattern of the word kind.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A piece of Latin letters and closing punctuation: two pre-tokens, whose letters lower-case one by one.
@@ -116,6 +118,10 @@ class Encoder:
         self.pieces: Recent = Recent(REMEMBER)  # piece -> (tokens, ids as text, decoded)
         self.words: Recent = Recent(REMEMBER)  # lower-case word or punctuation -> the same
 
+    def rest(self) -> None:
+        """Keep one generation of what is remembered."""
+        self.pieces.old, self.words.old = {}, {}
+
     def encode_symbols(self, symbols: list[str]) -> list[list[tuple[int, int]]]:
         """(id, end) of each pre-tokenized string's tokens, ends in characters; the strings are encoded in parallel."""
         with parallel(len(symbols) > 1):
@@ -248,5 +254,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, k) for c, (_, _, k) in zip(cols, made, strict=True))], names=[*batch.schema.names[: len(keep)], *(n for n, _, _ in made)])
+        own.rest()
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)

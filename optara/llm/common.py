@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
+import sys
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +39,29 @@ def ascii_lower(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Whether crc32(doc_id as text) mod 3 is 1: rows whose labels no model may see."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+#: Rows of an Arrow batch where the session has Spark's default of 10,000, which is meant for short rows.
+ARROW_ROWS = 2_000
+
+
+def frugal(run):
+    """A function over batches for long texts: short batches, and memory given back at its end.
+
+    Python workers live on after a task and would keep what it took; batches of whole texts by the ten thousand take as
+    much again on both sides of the pipe. A session that sets its own batch size keeps it.
+    """
+    session, size = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if session is not None and session.conf.get(size) == "10000":
+        session.conf.set(size, str(ARROW_ROWS))
+
+    @functools.wraps(run)
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return over

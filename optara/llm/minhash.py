@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import frugal, materialize, partitions
 from .components import components
 
 SHINGLE = 5
@@ -35,7 +35,7 @@ PERMUTATIONS = BANDS * ROWS
 MARGIN = 0.19  # about five standard deviations of the estimate at 0.85
 BUCKET_BLOCK = 512  # members of a bucket compared at once
 CLUSTER_BLOCK, CLUSTER_SHINGLES = 256, 400_000  # documents and shingles of a cluster compared at once
-REMEMBER = 500_000  # word hashes kept in a task
+REMEMBER = 300_000  # word hashes kept in a task
 
 _rng = np.random.default_rng(20_240_817)
 _MULTIPLY = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -274,7 +274,7 @@ def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     n_parts = partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(size), "doc_id long, seq binary, n_shingles long, bands array<long>, sig binary"), "minhash-signatures")
+    signed = materialize(rows.mapInArrow(frugal(_sign(size)), "doc_id long, seq binary, n_shingles long, bands array<long>, sig binary"), "minhash-signatures")
     linked = signed.where("seq is not null and doc_id is not null")
     nodes = materialize(linked.groupBy("seq").agg(F.min("doc_id").alias("rep")), "minhash-nodes")
     heads = signed.join(nodes.select(F.col("rep").alias("doc_id"), F.col("seq").alias("s2")), "doc_id").where("seq = s2").dropDuplicates(["doc_id", "seq"])
@@ -282,14 +282,14 @@ def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
     large = materialize(members.groupBy("band").count().where(F.col("count") > BUCKET_BLOCK).select("band", F.ceil(F.col("count") / BUCKET_BLOCK).alias("blocks")), "minhash-large")
     cut = members.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     near = _blocks(cut, "band", "blocks", "sig").repartition(n_parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    loose = components(near.mapInArrow(_loose(percent / 100 - MARGIN), "a long, b long"))
+    loose = components(near.mapInArrow(frugal(_loose(percent / 100 - MARGIN)), "a long, b long"))
 
     counted = loose.join(heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), F.col("node") == F.col("doc_id")).select("root", F.col("node").alias("id"), "n_shingles")
     counted = materialize(counted, "minhash-clusters")
     blocks = counted.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n_shingles") / CLUSTER_SHINGLES)).alias("blocks"))
     texts = rows.join(counted.join(blocks, "root").select("root", F.col("id"), "blocks"), F.col("doc_id") == F.col("id"))
     near = _blocks(texts, "root", "blocks", "text").repartition(n_parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-    exact = components(near.mapInArrow(_confirm(percent, size), "a long, b long"))
+    exact = components(near.mapInArrow(frugal(_confirm(percent, size)), "a long, b long"))
 
     found = signed.select("doc_id", "seq", "n_shingles").join(nodes, "seq", "left").join(exact, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("seq").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))

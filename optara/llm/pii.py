@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frugal
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "national_phone", "short_card", "secret")
 KINDS = BASE + ADDED
@@ -152,4 +154,4 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, k) for c, (_, _, k) in zip(cols, made, strict=True))], names=[*batch.schema.names[: len(keep)], *(n for n, _, _ in made)])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_checked
+from .common import broadcast_checked, frugal
 from .sample import labelled
 
 BUCKETS = 1 << 16
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]}, schema=pa.schema([("weights", pa.binary()), ("thresholds", pa.binary())]))
 
     one = rows.repartition(1).sortWithinPartitions("h", "grade").select("text", "grade")
-    r = one.mapInArrow(run, "weights binary, thresholds binary").first()
+    r = one.mapInArrow(frugal(run), "weights binary, thresholds binary").first()
     return Model(np.frombuffer(r["weights"], np.float32), np.frombuffer(r["thresholds"], np.float64))
 
 
@@ -120,4 +120,4 @@ def grade(docs: DataFrame, model: Model, at_least: int = 1, cut: float = 0.5, te
                 tail.append(1.0 if at_least <= 0 else float(tails[at_least - 1]) if at_least <= len(tails) else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array([p >= cut for p in tail], pa.bool_())], names=[*batch.schema.names[: len(keep)], *(n for n, _, _ in made)])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_checked, materialize
+from .common import broadcast_checked, frugal, materialize
 
 QUERY_BLOCK = 2048  # queries broadcast at once
 ROWS = 2048  # vectors compared at once
@@ -146,7 +146,7 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = rows.mapInArrow(frugal(run), "query_id long, vec_id long, score long")
         if n_blocks > 1:
             part = materialize(part, "topk-block")
         found = part if found is None else found.unionByName(part)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_checked, materialize
+from .common import broadcast_checked, frugal, materialize
 from .sample import labelled
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     docs = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(docs) < 2:
         return Model()
-    words = rows.select("text", "toxic").mapInArrow(_count_words, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    words = rows.select("text", "toxic").mapInArrow(frugal(_count_words), "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     words = materialize(words, "toxicity-words")  # as many as the sample holds
     stems = (
         words.select(F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n)))).alias("stem"), "t", "c")
@@ -212,7 +212,7 @@ def _calibrate(model: Model, rows: DataFrame, untoxic: int) -> None:
             got = [scorer.evidence(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "n": [n for n, _ in got], "s": [s for _, s in got]}, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
 
-    got = rows.select("text", "toxic").mapInArrow(scan, "toxic int, n long, s array<double>").collect()
+    got = rows.select("text", "toxic").mapInArrow(frugal(scan), "toxic int, n long, s array<double>").collect()
     n = sum(r["n"] for r in got if not r["toxic"]) or 1
     high = [s for r in got if not r["toxic"] for s in r["s"]]
     # Positive scores in untoxic text, one more for what the sample didn't show; the rest cost COST each.
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             own = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.float64(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *own], names=[*batch.schema.names[: len(keep)], "score", "n_passages", "statistic"])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)
 
 
 def passages(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -283,4 +283,4 @@ def passages(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()), strict=True))], names=[key, "start", "end", "score", "e_value", "passage"])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)
