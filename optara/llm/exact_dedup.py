@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import frugal, materialize, partitions
 
 SPACE = r"[\x20\x09-\x0D]+"
-PREFIX = 48  # characters of the text in a splitter
+PREFIX, DIGITS = 16, 16  # characters of the text and of its digest in a splitter: the driver holds a sample of these
 
 
 def _neighbours(batches):
@@ -59,8 +59,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = rows.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)).withColumn("prefix", F.substring("norm", 1, PREFIX))
     kind = docs.schema[key].dataType.simpleString()
     order = ("prefix", "sha", "doc_id")
-    spread = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, F.col("length").desc()).select("doc_id", "length", "norm", "sha")
-    runs = materialize(spread.mapInArrow(_neighbours, f"doc_id {kind}, length long, sha string, label string, again boolean"), "dedup-runs")
+    spread = rows.repartitionByRange(partitions(spark), "prefix", F.substring("sha", 1, DIGITS), "doc_id").sortWithinPartitions(*order, F.col("length").desc()).select("doc_id", "length", "norm", "sha")
+    runs = materialize(spread.mapInArrow(frugal(_neighbours), f"doc_id {kind}, length long, sha string, label string, again boolean"), "dedup-runs")
     best = runs.groupBy("label").agg(F.min(F.struct((-F.col("length")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"))).alias("best"), F.count("*").alias("group_size"))
     best = best.select("label", F.col("best.id").alias("keep_id"), "group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("again")
