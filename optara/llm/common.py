@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Column that numbers the rows of a table while a stage needs to tell them apart.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a number for each row in ROW, written once so that every later pass sees the same numbers."""
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def broadcast_checked(spark: SparkSession, value, size: int, what: str):
     """Broadcast a value whose size in bytes is known and below BROADCAST_BYTES."""
     if size > BROADCAST_BYTES:
