@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from ..operators.ranks import row_numbers
+from .common import ROW, WORD, materialize, numbered
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -51,14 +52,14 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row per document: key, size, source_size, target, taken (words, repeats counted) and epochs taken whole."""
-    rows = materialize(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("order")), "mix-sizes")
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: key, size, source_size, target, taken (words, repeats counted), epochs taken whole, source, and the columns of also."""
+    rows = materialize(docs.select(*also, F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("order")), "mix-sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(per_source.select("source", "source_size"), weights, most).join(per_source.select(F.col("source").alias("s2"), F.ceil(F.col("n") / range_rows).alias("ranges")), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     plan = materialize(plan, "mix-plan")  # one row per source
     at = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("ranges")).cast("int")
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select(rows["source"], "id", "size", "order", "source_size", "target", "budget", at.alias("range"))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).select(rows["source"], "id", "size", "order", *also, "source_size", "target", "budget", at.alias("range"))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     offsets = sums.select("source", "range", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "range").orderBy("order", "id", "size")
@@ -68,17 +69,37 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("prefix")))
-    return placed.withColumn("epochs", epochs.cast("long")).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs")
+    return placed.withColumn("epochs", epochs.cast("long")).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", rows["source"], *also)
 
 
-def apply(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs as the mix takes them: a row per epoch, the last one cut after the words taken; ids must be unique."""
-    m = mixed.select(F.col(key).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0")
-    joined = docs.join(m, docs[key].eqNullSafe(m["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
+def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs as their mix takes them, ids repeated or null as they may be: rows are numbered, and each gets its own result."""
+    rows = numbered(docs)
+    return _cut(rows, mix(rows, key, text, source, also=(ROW,)).select(ROW, "size", "taken"), text).select(*docs.columns)
+
+
+def apply(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs as the mix takes them: a row per epoch, the last one cut after the words taken.
+
+    Rows that share id, source and size are interchangeable, and each gets one of the mix's results for them.
+    """
+    rows = numbered(docs)
+    same = ["__id", "__source", "__size"]
+    own = row_numbers(rows.select(ROW, F.col(key).alias("__id"), F.col(source).alias("__source"), size_of(F.col(text)).alias("__size")), same, [F.col(ROW)], "__nth")
+    results = row_numbers(mixed.select(F.col(key).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken")), same, [F.col("taken")], "__nth")
+    results = results.select(F.col("__id").alias("i"), F.col("__source").alias("s"), F.col("__size").alias("size"), F.col("__nth").alias("n"), "taken")
+    paired = own.join(results, own["__id"].eqNullSafe(results["i"]) & own["__source"].eqNullSafe(results["s"]) & (own["__size"] == results["size"]) & (own["__nth"] == results["n"]))
+    return _cut(rows, paired.select(ROW, "size", "taken"), text).select(*docs.columns)
+
+
+def _cut(rows: DataFrame, results: DataFrame, text: str) -> DataFrame:
+    """Numbered rows with results (ROW, size, taken) as often as taken, the last time cut."""
+    m = results.select(F.col(ROW).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0")
+    joined = rows.join(m, rows[ROW] == m["__id"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
     left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
     # Each piece is a word with the white space before it, so that the pieces' start is the text's start.
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"([\x20\x09-\x0D]*" + WORD + ")"), F.lit(1))
     out = joined.withColumn(text, F.when(left >= F.col("__size"), F.col(text)).otherwise(F.array_join(F.slice(pieces, 1, left.cast("int")), "")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(left >= F.col("__size"), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    if "n_chars" in rows.columns:
+        out = out.withColumn("n_chars", F.when(left >= F.col("__size"), F.col("n_chars")).otherwise(F.length(text)).cast(rows.schema["n_chars"].dataType))
+    return out

@@ -38,7 +38,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("epochs")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("epochs", "source")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,17 @@ def test_apply_takes_exactly(documents, awkward):
     assert out.select(mixing.size_of(out["text"]).alias("n")).agg({"n": "sum"}).first()[0] == taken
     once = awkward.where("doc_id <> 7")
     assert mixing.apply(once, mixing.mix(once)).columns == awkward.columns
+
+
+def test_each_row_is_taken_once(spark, awkward):
+    words = lambda df: df.select(mixing.size_of(df["text"]).alias("n")).agg({"n": "sum"}).first()[0]
+    plan = mixing.mix(awkward)
+    taken = plan.agg({"taken": "sum"}).first()[0]
+    assert words(mixing.apply(awkward, plan)) == taken == words(mixing.take(awkward))
+    assert mixing.take(awkward).columns == awkward.columns
+    # Null and repeated ids in two sources: each source gets its own budget to the word.
+    rows = [(i, f"{s} " * n, s, 1) for s in "ab" for i, n in ((None, 3), (None, 3), (None, 5), (1, 4), (1, 4), (2, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    budgets = {r["source"]: r["budget"] for r in mixing.targets(docs.groupBy("source").agg(mixing.F.sum(mixing.size_of(docs["text"])).alias("source_size"))).collect()}
+    for got in (mixing.take(docs), mixing.apply(docs, mixing.mix(docs))):
+        assert {r["source"]: r["n"] for r in got.groupBy("source").agg(mixing.F.sum(mixing.size_of(got["text"])).alias("n")).collect()} == budgets
