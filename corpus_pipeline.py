@@ -14,8 +14,10 @@ from optara.shipping import shipped
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the cut; the model learns from the labelled ones among docs."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < TOXIC_CUT).select(*docs.columns)
+    names = {f"__c{i}": c for i, c in enumerate(docs.columns)}  # columns of docs may be called as the score's
+    renamed = docs.toDF(*names)
+    scored = toxicity.score(renamed, model, text=f"__c{docs.columns.index('text')}", keep=tuple(names))
+    return scored.where(F.col("score") < TOXIC_CUT).select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,12 @@ def test_near_copies_are_dropped_by_row(spark, sf_dir):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()]
     assert len(got) == 3 and {i for i, _ in got} == {5, None}
     assert sorted(t[:2] for _, t in got) == ["al", "v0", "w0"] and (5, c) in got
+
+
+def test_stages_take_extra_columns(spark, sf_dir, awkward):
+    docs = awkward.withColumn("statistic", awkward["score"]).withColumn("n_passages", awkward["size"])
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf_dir)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.collect()))  # a model from no labelled rows flags nothing
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, sf_dir).columns == docs.columns
+        assert 0 < stage(spark, docs, sf_dir).count()
