@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Kinds in order: email, ip, card, phone (the base kinds), then iban, national_phone, short_card and secret,
-which the method adds. A proposed span that fails its validator is dropped without a retry. Each span has a
+which the method adds. A proposed span that fails its validator is dropped without a retry, save that an iban may
+end at any space in it (the longest valid one stands) and the next is sought from there on. Each span has a
 score: the kind's prior plus a bonus where one of the kind's context words stands within WINDOW characters;
 base spans always stay, added ones need MIN_SCORE and must not overlap a span found before them.
 
@@ -90,8 +91,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def iban_spans(text: str) -> list[tuple[str, int, int]]:
+    """Valid numbers: the pattern may take a word that follows one, so that spans ending at an earlier space are tried too."""
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        ends = [m.end(), *(i for i in range(m.end() - 1, m.start(), -1) if text[i] == " ")]
+        end = next((e for e in ends if mod97(text[m.start() : e])), None)
+        if end:
+            out.append(("iban", m.start(), end))
+        at = end or m.start() + 1
+    return out
+
+
 def added_spans(text: str) -> list[tuple[str, int, int]]:
-    out = [("iban", m.start(), m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
+    out = iban_spans(text)
     if ")" in text or "0" in text:
         out += [("national_phone", m.start(), m.end()) for m in NATIONAL.finditer(text) if 8 <= len(digits(m[0])) <= 13 and text[m.start() - 1 : m.start()] not in tuple("0123456789+.-")]
     out += [("short_card", m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := digits(m[0])) <= 15 and luhn(d)]

@@ -46,3 +46,12 @@ def test_validators_and_context():
     assert [s.kind for s in pii.find("amex card 3782 822463 10005")] == ["short_card"] and pii.find("number 3782 822463 10005") == []
     plain, near = pii.find("x 10.0.0.1")[0].score, pii.find("server ip 10.0.0.1")[0].score
     assert near > plain
+
+
+def test_iban_before_another_word():
+    found = lambda t: [t[s:e] for k, s, e in pii.added_spans(t) if k == "iban"]
+    for t in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "DE89 3704 0044 0532 0130 00"):
+        for after in ("", " BIC", " USA", " OK", " A1", " ABCD EFGH", ".", " und"):
+            assert found(f"to {t}{after}") == [t]
+    assert found("AT61 1904 3002 3457 3201 ES91 2100 0418 4502 0005 1332 OK") == ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"]
+    assert found("ES9121000418450200051333 BIC") == found("ES9121000418450200051332Q") == []
