@@ -164,7 +164,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         words.select(F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n)))).alias("stem"), "t", "c")
         .where("stem is not null").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("n"))
     )
-    top = lambda df, n: df.orderBy((F.col("t") + F.col("c")).desc(), F.col(df.columns[0])).limit(n).collect()
     base = docs[1] / (docs[0] + docs[1])
     logit = lambda p: math.log(p / (1 - p))
 
@@ -174,27 +173,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def value(p: float) -> float:
         return max(-TOP, min(TOP, logit(min(1 - 1e-9, max(1e-9, p))) - logit(base)))
 
-    candidates = [top(stems.where(f"t + c >= {MIN_COUNT} and n >= {MIN_WORDS}"), MAX_UNITS // 2), top(words.where(f"t + c >= {MIN_COUNT}"), MAX_UNITS // 2)]
-    least = 2 * math.log(max(2, sum(map(len, candidates))))
-
+    stems, words = stems.where(f"t + c >= {MIN_COUNT} and n >= {MIN_WORDS}"), words.where(f"t + c >= {MIN_COUNT}")
+    least = 2 * math.log(max(2, stems.count() + words.count()))
     # Units that say no more than the base share would only add noise: a likelihood ratio that holds for all units at once.
-    def telling(t: int, c: int) -> bool:
-        n = t + c
-        ratio = sum(2 * x * math.log(x / (n * p)) for x, p in ((t, base), (c, 1 - base)) if x)
-        return t / n > 0.5 and ratio > least
+    sides = [F.when(F.col(x) > 0, 2 * F.col(x) * F.ln(F.col(x) / ((F.col("t") + F.col("c")) * p))).otherwise(0.0) for x, p in (("t", base), ("c", 1 - base))]
+    rated = lambda df: df.withColumn("ratio", sides[0] + sides[1]).withColumn("telling", (F.col("t") > F.col("c")) & (F.col("ratio") > least))
+    # What passes is bounded, the most telling first.
+    top = lambda df: df.orderBy(F.col("telling").desc(), F.col("ratio").desc(), F.col(df.columns[0])).limit(MAX_UNITS // 2).collect()
 
     model, shares = Model(), {}
-    for r in candidates[0]:
+    for r in top(rated(stems).where("telling")):
         shares[r["stem"]] = share(r["t"], r["c"], base)
-        if telling(r["t"], r["c"]):
-            model.stems[r["stem"]] = value(shares[r["stem"]]) - COST
-    for r in candidates[1]:
-        stem = next((s for n in range(min(len(r["word"]), STEMS[-1]), STEMS[0] - 1, -1) if (s := r["word"][:n]) in model.stems), None)
-        p = share(r["t"], r["c"], shares[stem] if stem else base)
-        if telling(r["t"], r["c"]):
-            model.words[r["word"]] = value(p) - COST
-        elif stem and p < shares[stem]:
-            model.words[r["word"]] = min(value(p), 0.0) - COST
+        model.stems[r["stem"]] = value(shares[r["stem"]]) - COST
+    # Besides telling words, those that are less toxic than their longest stem.
+    parents = rows.sparkSession.createDataFrame(list(shares.items()), "stem string, share double")
+    prefixes = F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda n: F.when(F.length("word") >= n, F.substring("word", F.lit(1), n)))
+    under = words.select("word", F.explode(prefixes).alias("stem")).join(F.broadcast(parents), "stem").groupBy("word").agg(F.max(F.struct(F.length("stem").alias("n"), "share"))["share"].alias("share"))
+    known = rated(words.join(under, "word", "left"))
+    for r in top(known.where(F.col("telling") | (F.col("t") + PRIOR * F.col("share") < F.col("share") * (F.col("t") + F.col("c") + PRIOR)))):
+        p = share(r["t"], r["c"], base if r["share"] is None else r["share"])
+        model.words[r["word"]] = (value(p) if r["telling"] else min(value(p), 0.0)) - COST
     _calibrate(model, rows, docs[0])
     return model
 

@@ -70,3 +70,12 @@ def test_held_out_accuracy(spark):
     pos, neg = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
     assert sum(r["predicted"] for r in pos) / len(pos) > 0.9
     assert sum(r["predicted"] for r in neg) / len(neg) < 0.01
+
+
+def test_bound_keeps_the_most_telling_units(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_UNITS", 8)
+    clean = [(f"quiet words number about calm weather and soft rain {i % 7}", 0, i) for i in range(120)]
+    foul = [("quiet words number about calm weather vile snarfle", 1, 1000 + i) for i in range(30)]
+    rows = spark.createDataFrame([*clean, *foul], "text string, toxic int, doc_id long")
+    model = toxicity.fit(rows, rows.select("doc_id", "toxic"))
+    assert model.word("snarfle") > 0 and model.word("vile") > 0 and model.word("weather") < 0
