@@ -27,11 +27,12 @@ def build(args) -> None:
 
 
 def bench(args) -> None:
-    df = benchmark.stratified(read_jsonl(session(), args.rows), args.limit)
+    spark = session()
+    df = benchmark.stratified(read_jsonl(spark, args.rows), args.limit)
     model = scorer.load(args.model) if args.model else None
     system = systems.registry(model, args.decision_url, args.chat_url, args.chat_model)[args.system]
     kind = {"own": "own", "chat": "ollama-chat"}.get(args.system, args.system)
-    write_json(f"{args.raw}/{args.system}.json", benchmark.result(args.chat_model or args.system, system, df, kind, "cpu"))
+    write_json(spark, f"{args.raw}/{args.system}.json", benchmark.result(args.chat_model or args.system, system, df, kind, "cpu"))
 
 
 def report(args) -> None:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .exact import fmt_all, let
 
+# How questions ask for the least, and how they state a cap.
+LEAST = r"\b(least|lowest|minimum|menos|mínimo)\b"
+CAP = r"(?:at most|at or below|como máximo|pasar de) ([\d.]+) g"
+
 
 def by_language(language: Column, of) -> Column:
     """The column that of(code) gives for the row's language."""
@@ -84,11 +88,11 @@ def panel_values(body: Column) -> Column:
 
 
 def asks_least(question: Column) -> Column:
-    return F.lower(question).rlike(r"(?U)\b(" + "|".join(W.LEAST_WORDS) + r")\b")
+    return F.lower(question).rlike("(?U)" + LEAST)
 
 
 def cap_of(question: Column) -> Column:
-    return F.nullif(F.regexp_extract(question, "(?:" + "|".join(W.CAP_WORDS) + r") ([0-9.]+) g", 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(question, CAP, 1), F.lit("")).try_cast("double")
 
 
 def slug(text: Column) -> Column:

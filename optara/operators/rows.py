@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import HARD_WORDS
 from .ranks import row_numbers
 
+# Bounds of a request and of a row, and what a request's first problem is called, in the order of the tests.
 MAX_OPTIONS = 26
 MAX_LENGTH = 1536
+PROBLEMS = (
+    "state must be non-empty text",
+    "question must be non-empty text",
+    "candidates must hold 2 to 26 options",
+    "every candidate needs a non-empty text",
+    "candidate ids must be present and unique",
+)
 
 
 def valid_episode(row) -> Column:
@@ -27,10 +38,8 @@ def request_problem(row) -> Column:
     blank = lambda x: F.coalesce(F.regexp_replace(x, r"(?U)\s", "") == "", F.lit(True))
     ids = F.transform(c, lambda x: F.coalesce(x["id"], F.lit("")))
     return (
-        F.when(blank(row["state"]), "state must be non-empty text").when(blank(row["question"]), "question must be non-empty text")
-        .when(F.coalesce(~F.size(c).between(2, MAX_OPTIONS), F.lit(True)), f"candidates must hold 2 to {MAX_OPTIONS} options")
-        .when(F.exists(c, lambda x: blank(x["text"])), "every candidate needs a non-empty text")
-        .when(F.array_contains(ids, "") | (F.size(F.array_distinct(ids)) != F.size(ids)), "candidate ids must be present and unique")
+        F.when(blank(row["state"]), PROBLEMS[0]).when(blank(row["question"]), PROBLEMS[1]).when(F.coalesce(~F.size(c).between(2, MAX_OPTIONS), F.lit(True)), PROBLEMS[2])
+        .when(F.exists(c, lambda x: blank(x["text"])), PROBLEMS[3]).when(F.array_contains(ids, "") | (F.size(F.array_distinct(ids)) != F.size(ids)), PROBLEMS[4])
     )
 
 
@@ -50,17 +59,32 @@ def oversample(rows: DataFrame, again: Column, copies: int = 1) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
 
 
+class Arithmetic(NamedTuple):
+    """Whole-number arithmetic over one kind of operand."""
+
+    between: Callable  # (value, least, most)
+    part: Callable  # (value, divisor), rounded down
+    choose: Callable  # (condition, then, otherwise)
+
+
+NUMBERS = Arithmetic(lambda x, lo, hi: max(lo, x if hi is None else min(x, hi)), lambda a, b: a // b, lambda c, a, b: a if c else b)
+COLUMNS = Arithmetic(
+    lambda x, lo, hi: F.greatest(F.lit(lo), x if hi is None else F.least(x, F.lit(hi))), lambda a, b: F.floor(a / b), lambda c, a, b: F.when(c, a).otherwise(b),
+)
+
+
+def shares(limit, options, of: Arithmetic) -> tuple:
+    """Bytes for the question, the state and each option, for plain numbers or for columns."""
+    n = of.between(options, 1, None)
+    question, state = (of.between(of.part(limit, 8), lo, hi) for lo, hi in ((8, 160), (16, 256)))
+    left = limit - (n + 1) - question  # for the state and the options, separators taken off
+    state = of.choose(left - state < n * 4, of.between(left - n * 4, 8, None), state)
+    return question, state, of.between(of.part(left - state, n), 1, None)
+
+
 def budgets(limit: Column, options: Column) -> Column:
     """Struct of byte budgets for question, state and each option, in whole numbers."""
-    n = F.greatest(options, F.lit(1))
-    eighth = F.floor(limit / 8)
-    question = F.least(F.lit(160), F.greatest(F.lit(8), eighth))
-    state = F.least(F.lit(256), F.greatest(F.lit(16), eighth))
-    room = limit - (n + 1) - question - state
-    tight = room < n * 4
-    state = F.when(tight, F.greatest(F.lit(8), limit - (n + 1) - question - n * 4)).otherwise(state)
-    room = limit - (n + 1) - question - state
-    return F.struct(question.cast("long").alias("question"), state.cast("long").alias("state"), F.greatest(F.lit(1), F.floor(room / n)).cast("long").alias("option"))
+    return F.struct(*(x.cast("long").alias(n) for x, n in zip(shares(limit, options, COLUMNS), ("question", "state", "option"), strict=True)))
 
 
 def fits(question: Column, texts: Column, limit: int = MAX_LENGTH) -> Column:

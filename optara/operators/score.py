@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import percent, wilson_lower
 from .ranks import at_ranks
 
+# Cells of the report in its order.
 CELLS = ("difficulty:extreme", "difficulty:constrained", "options:3", "options:4", "options:5", "units:salt_g", "units:sodium_mg", "lang:en", "lang:es")
 
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 import json
 import math
 import os
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .rows import NUMBERS, shares
+
 PAD, BOS, EOS, SEP, VOCAB = 256, 257, 258, 259, 260
 WEIGHT_BYTES = 512 << 20  # broadcast bound
 
@@ -93,16 +95,6 @@ def _gelu(x: np.ndarray) -> np.ndarray:
     return 0.5 * x * (1 + _erf(x / math.sqrt(2)))
 
 
-def budgets(limit: int, options: int) -> tuple[int, int, int]:
-    """Bytes for question, state and each option; the column form is rows.budgets."""
-    n = max(options, 1)
-    question, state = min(160, max(8, limit // 8)), min(256, max(16, limit // 8))
-    fixed = limit - (n + 1) - question
-    if fixed - state < 4 * n:
-        state = max(8, fixed - 4 * n)
-    return question, state, max(1, (fixed - state) // n)
-
-
 def encode(text: str, limit: int) -> list[int]:
     if limit < 2:
         raise ValueError("no room for the marks")
@@ -141,7 +133,7 @@ class Model:
     def layout(self, state: str, question: str, options: list[str]) -> tuple[np.ndarray, np.ndarray, list[slice]]:
         """Ids and positions of the used slots, and the spans (state, question, options) among them."""
         c = self.config
-        ql, sl, ol = budgets(c.max_length, len(options))
+        ql, sl, ol = shares(c.max_length, len(options), NUMBERS)
         pieces = [encode(state, c.max_length)[-sl:], encode(question, c.max_length)[:ql], *(encode(o, c.max_length)[:ol] for o in options)]
         q_slot = min(ql, max(c.question_slot, len(pieces[1])))
         o_slot = min(ol, max([c.option_slot, *map(len, pieces[2:])]))
@@ -160,7 +152,7 @@ class Model:
     def logits(self, state: str, question: str, options: list[str]) -> np.ndarray:
         """One logit per option, then one for `unknown`. Slots that hold nothing are never computed, which equals masking them."""
         if not options:
-            raise ValueError("every row needs at least one option")
+            raise ValueError("no options, no logits")
         ids, positions, (s, q, *o) = self.layout(state, question, options)
         x = self.w["token_embed.weight"][ids] + self.w["position_embed.weight"][positions]
         for n in range(self.config.n_layers):
@@ -217,19 +209,16 @@ def save(model: Model, folder: str) -> None:
 def load(folder: str, max_length: int | None = None) -> Model:
     """A saved model; a longer context keeps the saved positions and starts the new ones at zero."""
     with open(f"{folder}/config.json", encoding="utf-8") as file:
-        config = Config(**json.load(file))
+        saved = json.load(file)
+    config = Config(**saved | {"max_length": max(saved["max_length"], max_length or 0)})
     with open(f"{folder}/model.safetensors", "rb") as file:
         raw = file.read()
     n = int.from_bytes(raw[:8], "little")
     header = {k: v for k, v in json.loads(raw[8 : 8 + n]).items() if k != "__metadata__"}
     weights = {k: np.frombuffer(raw[8 + n + v["data_offsets"][0] : 8 + n + v["data_offsets"][1]], np.float32).reshape(v["shape"]) for k, v in header.items()}
-    if max_length and max_length > config.max_length:
-        config = replace(config, max_length=max_length)
-    old = weights["position_embed.weight"]
-    if old.shape[1] != config.d_model or len(old) > config.max_length:
-        raise ValueError("the position table doesn't fit the configuration")
-    if len(old) < config.max_length:
-        weights["position_embed.weight"] = np.concatenate([old, np.zeros((config.max_length - len(old), old.shape[1]), np.float32)])
+    positions = weights["position_embed.weight"]
+    # A table longer than the context raises here, one of another width in Model.
+    weights["position_embed.weight"] = np.pad(positions, ((0, config.max_length - len(positions)), (0, 0)))
     return Model(config, weights)
 
 

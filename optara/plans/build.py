@@ -34,7 +34,7 @@ def build(spark: SparkSession, path: str, out: str, per_category: int = 12, seed
         rows.unpersist()
     finally:
         products.unpersist()
-    write_json(f"{out.removeprefix('file://')}/manifest.json", manifest)
+    write_json(spark, f"{out}/manifest.json", manifest)
     return manifest
 
 

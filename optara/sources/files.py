@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Store
+
+# Columns of the files.
 EPISODE = (
     "id string, state string, question string, candidates array<struct<id: string, text: string>>, answer string, group_id string, lang string, capability string, "
     "domain string, difficulty string, decidable boolean, origin string, license string, source_id string"
@@ -36,14 +37,9 @@ def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_json(path: str, document: dict) -> None:
-    """One small document, keys sorted, put in place by a rename so that no reader sees half of it."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=folder, suffix=".tmp")
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        out.write(json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
-    os.replace(name, path)
+def write_json(spark: SparkSession, path: str, document: dict) -> None:
+    """One small document, keys sorted, in whatever store the path names."""
+    Store(spark).write(path, json.dumps(document, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n")
 
 
 def read_documents(spark: SparkSession, folder: str, schema: str = RESULT) -> DataFrame:

@@ -8,26 +8,21 @@ import time
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from ..operators.rows import MAX_OPTIONS
+from ..operators.rows import MAX_OPTIONS, PROBLEMS
 
 MAX_BODY = 1 << 20
 
 
 def problem(body) -> str | None:
-    """First problem of one request as the column form in operators.rows states it."""
-    text = lambda x: isinstance(x, str) and x.strip() != ""
+    """First problem of one request, by the tests and names of operators.rows."""
     if not isinstance(body, dict):
         return "body must be an object"
-    bad = next((f for f in ("state", "question") if not text(body.get(f))), None)
-    if bad:
-        return f"{bad} must be non-empty text"
-    options = body.get("candidates")
-    if not isinstance(options, list) or not 2 <= len(options) <= MAX_OPTIONS:
-        return f"candidates must hold 2 to {MAX_OPTIONS} options"
-    if not all(isinstance(o, dict) and text(o.get("text")) for o in options):
-        return "every candidate needs a non-empty text"
-    ids = {str(o.get("id", "")) for o in options}
-    return "candidate ids must be present and unique" if "" in ids or len(ids) < len(options) else None
+    blank = lambda x: not isinstance(x, str) or not x.strip()
+    listed = body["candidates"] if isinstance(body.get("candidates"), list) else []
+    options = [o if isinstance(o, dict) else {} for o in listed]
+    ids = [str(o.get("id", "")) for o in options]
+    found = (blank(body.get("state")), blank(body.get("question")), not 2 <= len(options) <= MAX_OPTIONS, any(blank(o.get("text")) for o in options), "" in ids or len(set(ids)) < len(ids))
+    return next((name for name, bad in zip(PROBLEMS, found, strict=True) if bad), None)
 
 
 def make(decide: Callable[[dict], dict], port: int = 0, examples: list | None = None) -> ThreadingHTTPServer:

@@ -128,8 +128,8 @@ def test_report(spark, dump, tmp_path):
     assert 0 < some.count() < made.count()
     from optara.sources.files import read_documents, write_json, write_lines
 
-    write_json(str(tmp_path / "raw/rules.json"), doc)
-    write_json(str(tmp_path / "raw/own.json"), doc | {"system": {"name": "m", "kind": "own", "device": "cpu"}, "accuracy": 0.5})
+    write_json(spark, str(tmp_path / "raw/rules.json"), doc)
+    write_json(spark, str(tmp_path / "raw/own.json"), doc | {"system": {"name": "m", "kind": "own", "device": "cpu"}, "accuracy": 0.5})
     lines = benchmark.report(read_documents(spark, str(tmp_path / "raw")))
     text = [r["line"] for r in lines.orderBy("n").collect()]
     assert text[6].startswith("| rules |") and text[7].startswith("| m (cpu) |") and any(t.startswith("Chance") for t in text)

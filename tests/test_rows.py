@@ -26,7 +26,7 @@ def test_validity_and_requests(spark):
 def test_budgets_match_plain_form(spark, limit):
     got = spark.range(0, 27).select("id", rows.budgets(F.lit(limit), F.col("id")).alias("b")).collect()
     for r in got:
-        assert tuple(r["b"]) == scorer.budgets(limit, r["id"])
+        assert tuple(r["b"]) == rows.shares(limit, r["id"], rows.NUMBERS)
         q, s, o = r["b"]
         if limit == 1536:
             assert q + s + (1 + max(1, r["id"])) + o * max(1, r["id"]) <= limit

@@ -20,12 +20,12 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_documents_and_digests(spark, tmp_path):
-    files.write_json(str(tmp_path / "a/x.json"), {"b": "é", "a": 1})
+    files.write_json(spark, str(tmp_path / "a/x.json"), {"b": "é", "a": 1})
     assert (tmp_path / "a/x.json").read_text() == '{\n  "a": 1,\n  "b": "é"\n}\n' and [p.name for p in (tmp_path / "a").iterdir()] == ["x.json"]
     r = files.digests(spark, str(tmp_path / "a")).first()
     assert r["sha256"] == hashlib.sha256((tmp_path / "a/x.json").read_bytes()).hexdigest()
     for n in ("2", "1"):
-        files.write_json(str(tmp_path / f"docs/{n}.json"), {"system": {"name": n}, "by": {"lang:en": {"accuracy": 0.5, "rows": 2}}})
+        files.write_json(spark, str(tmp_path / f"docs/{n}.json"), {"system": {"name": n}, "by": {"lang:en": {"accuracy": 0.5, "rows": 2}}})
     got = files.read_documents(spark, str(tmp_path / "docs")).collect()
     assert [r["file"] for r in got] == ["1.json", "2.json"] and got[0]["by"]["lang:en"]["rows"] == 2 and json.loads("{}") == {}
 

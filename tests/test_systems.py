@@ -96,9 +96,6 @@ def test_history_stream_equals_batch(spark, tmp_path):
 def test_curriculum_loop(spark, tmp_path, monkeypatch):
     small = tuple(loop.Rung(r.id, 1, 1, 40) for r in loop.RUNGS)
     monkeypatch.setattr(loop, "RUNGS", small)
-    monkeypatch.setattr(loop, "DEV_ROWS", 30)
-    real = loop.dev_rows
-    monkeypatch.setattr(loop, "dev_rows", lambda spark, run, rung, b: real(spark, run, rung, b, 30))
     scores = iter([0.95, 0.5, 0.92])
 
     def trainer(train, dev, rung, folder):
@@ -106,9 +103,9 @@ def test_curriculum_loop(spark, tmp_path, monkeypatch):
         return {"accuracy": next(scores), "chance": 0.5, "wilson_lower": 0.4, "rows": 30, "loss": 1.0}
 
     run = str(tmp_path / "run")
-    state = loop.loop(spark, run, trainer, cycles=2)
+    state = loop.loop(spark, run, trainer, cycles=2, dev_rows=30)
     assert (state["rung_index"], state["next_cycle"], state["cleared"]) == (1, 2, {"r0-most": 0})
-    state = loop.loop(spark, run, trainer, cycles=1)  # resumes from the saved state
+    state = loop.loop(spark, run, trainer, cycles=1, dev_rows=30)  # goes on where the history ends
     assert state["rung_index"] == 2 and state["best"] == {"r0-most": 0.95, "r1-pair": 0.92}
     from optara.sources.files import HISTORY
 
@@ -116,3 +113,33 @@ def test_curriculum_loop(spark, tmp_path, monkeypatch):
     assert [(r["cycle"], r["rung"], r["cleared"]) for r in lines] == [(0, "r0-most", True), (1, "r1-pair", False), (2, "r1-pair", True)]
     (tmp_path / "run/STOP").touch()
     assert loop.loop(spark, run, trainer)["next_cycle"] == 3
+
+
+def test_standing_follows_from_history(spark):
+    from optara.sources.files import HISTORY
+
+    lines = [(0, "r0-most", 0.95, True), (1, "r1-pair", None, False), (2, "r1-pair", 0.91, True), (3, "r5-real", 0.0, False), (4, "r5-real", 0.93, False), (5, "r5-real", 0.93, False), (6, "r5-real", 0.4, False)]
+    full = lambda n: spark.createDataFrame([(c, r, a, None, None, 1, None, 1, k, 1.0, None) for c, r, a, k in lines[:n]], HISTORY)
+    got = loop.standing(full(7)).first().asDict(recursive=True)
+    assert got == {"next_cycle": 7, "rung_index": 2, "best": {"r0-most": 0.95, "r1-pair": 0.91, "r5-real": 0.93}, "cleared": {"r0-most": 0, "r1-pair": 2}, "champion": {"cycle": 4, "accuracy": 0.93}}
+    assert loop.standing(full(4)).first()["champion"] is None and loop.standing(full(0)).first()["next_cycle"] == 0
+
+
+def test_latest_cycle_and_champion_stay(spark, tmp_path, monkeypatch):
+    from optara.operators import synth
+    from optara.sources.files import write_jsonl
+
+    rows = synth.batch(spark, "r4-constraints", 16, 1)
+    write_jsonl(rows, str(tmp_path / "real"))
+    monkeypatch.setattr(loop, "RUNGS", (loop.Rung(loop.REAL, 1, 1, 0),))
+    scores = iter([0.5, 0.8, 0.6, 0.7])
+
+    def trainer(train, dev, rung, folder):
+        (tmp_path / "run/cycles" / folder.rsplit("/", 1)[1] / "model").write_text("x")
+        assert train.count() > 16 and dev.count() == 16
+        return {"accuracy": next(scores), "chance": 0.5, "wilson_lower": 0.4, "rows": 16, "loss": 1.0}
+
+    got = loop.loop(spark, str(tmp_path / "run"), trainer, 4, str(tmp_path / "real"), str(tmp_path / "real"))
+    assert got["champion"] == {"cycle": 1, "accuracy": 0.8} and got["next_cycle"] == 4 and got["rung_index"] == 0 and got["cleared"] == {}
+    assert sorted(p.name for p in (tmp_path / "run/cycles").iterdir()) == ["000001", "000003"]
+    assert [p.name for p in (tmp_path / "run/cycles/000001").iterdir()] == ["model"] and (tmp_path / "run/state.json").exists()
