@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from optara.llm import bpe, exact_dedup, minhash, mixing, toxicity
@@ -23,15 +23,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the longest original text, then the least id."""
     rows = numbered(docs)
-    groups = exact_dedup.groups(rows, key=ROW).where("group_size > 1").select(ROW, F.col("keep_id").alias("group"))
-    return _without_copies(rows, groups, -F.length(F.coalesce("text", F.lit("")))).select(*docs.columns)
+    return _without(rows, exact_dedup.groups(rows, key=ROW, ties=("doc_id",))).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, the one of least id, of each group that shares 80% or more of its five-word shingles."""
     rows = numbered(docs)
-    groups = minhash.groups(rows, percent=80, key=ROW).select(ROW, F.col("component_id").alias("group"))
-    return _without_copies(rows, groups).select(*docs.columns)
+    return _without(rows, minhash.groups(rows, percent=80, key=ROW, ties=("doc_id",))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,15 +63,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = None
 
 
-def _without_copies(rows: DataFrame, groups: DataFrame, *first: Column) -> DataFrame:
-    """Numbered rows without those of a group (ROW, group) that aren't its first one by first, then id (null last).
+def _without(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Numbered rows without those that their group doesn't keep.
 
     Decisions are made for rows, not ids, so that repeated and null ids are judged like others. The dropped rows' numbers
     are written first: where their files are small enough to broadcast, Spark sees that beforehand and no text is
     shuffled for the join; where they aren't, it is an ordinary one.
     """
-    order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(first)), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
-    placed = materialize(groups.join(rows.select(ROW, order.alias("place")), ROW), "copies")
-    best = placed.groupBy("group").agg(F.min("place")["row"].alias(ROW))
-    dropped = materialize(placed.select(ROW).join(best.select(ROW), ROW, "left_anti"), "dropped-rows")
-    return rows.join(dropped, ROW, "left_anti")
+    return rows.join(materialize(groups.where(~F.col("kept")).select(ROW), "dropped-rows"), ROW, "left_anti")

@@ -40,6 +40,22 @@ def broadcast_checked(spark: SparkSession, value, size: int, what: str):
     return spark.sparkContext.broadcast(value)
 
 
+#: A key with more than this part of all rows is heavy: there are fewer than HEAVY such keys, whatever the input's size.
+HEAVY = 20_000
+
+
+def split_by(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is in groups, with its columns; the other rows), where no task gets all rows of a heavy key.
+
+    groups has a row for each of its keys, and in n how many rows have it. The fewer than HEAVY keys with more than that part of
+    all these rows are broadcast (groups' rows are of bounded size); the rest is an ordinary join.
+    """
+    whole = groups.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()["total"]
+    heavy, light = F.broadcast(groups.where(F.col(n) > whole / HEAVY)), groups.where(F.col(n) <= whole / HEAVY)
+    rest = rows.join(heavy.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key)), rest.join(light.select(key), key, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone; every other character stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,24 +66,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-#: Rows of an Arrow batch where the session has Spark's default of 10,000, which is meant for short rows.
+#: Rows that a function over long texts gets at once; the session bounds what crosses the pipe at once, in bytes.
 ARROW_ROWS = 2_000
 
 
 def frugal(run):
-    """A function over batches for long texts: short batches, and memory given back at its end.
+    """A function over batches for long texts: it gets short batches, and memory is given back at its end.
 
-    Python workers live on after a task and would keep what it took; batches of whole texts by the ten thousand take as
-    much again on both sides of the pipe. A session that sets its own batch size keeps it.
+    Python workers live on after a task and would keep what it took. The session's own settings stay as they are.
     """
-    session, size = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if session is not None and session.conf.get(size) == "10000":
-        session.conf.set(size, str(ARROW_ROWS))
 
     @functools.wraps(run)
     def over(batches):
         try:
-            yield from run(batches)
+            yield from run(b.slice(at, ARROW_ROWS) for b in batches for at in range(0, max(1, b.num_rows), ARROW_ROWS))
         finally:
             pa.default_memory_pool().release_unused()
             if sys.platform == "linux":

@@ -2,15 +2,18 @@
 
 1. Each text's set of word shingles gets minima under PERMUTATIONS hash functions. Bands of ROWS minima give bucket
    keys; the low BITS bits of every minimum are packed into a signature. Equal word sequences are one node.
-2. In each bucket the signatures of all pairs are compared by XOR and bit count; the share of equal minima, corrected
-   for chance collisions of BITS bits, estimates the similarity. Pairs estimated within MARGIN of the threshold
-   connect; every bucket hands on at most one edge per member, and components of these edges are loose clusters.
-3. Within a loose cluster every pair is settled on full shingle sets, and again one edge per member is handed on; their
-   components are the result. A link of the exact threshold is lost only if no band and no other path joins its two
-   texts (below 1e-5 a pair at the threshold itself, less above).
-
-Large buckets and clusters are cut into blocks, and each pair of blocks is a task's unit, so that no group is gathered
-in one task and no pair is emitted as a row.
+2. In each bucket signatures are compared by XOR and bit count; the share of equal minima, corrected for chance collisions
+   of BITS bits, estimates the similarity. Pairs estimated within MARGIN of the threshold connect, and components of these
+   edges are loose clusters. Buckets beyond BUCKET_BLOCK members are settled against a representative first; only members
+   that are not close to it are compared with all others, in pairs of blocks.
+3. Within a loose cluster every pair is settled on full shingle sets: linked, not linked, or connected by others anyway.
+   Clusters beyond CLUSTER_BLOCK members are sorted by several bands in turn and compared in blocks of neighbours, which connects
+   nearly all that belongs together and sends each text once an order; only members outside the cluster's largest component
+   after that are compared with all others, in pairs of blocks. So the work grows with the square of those members alone.
+
+A link of the exact threshold is lost only if no band and no other path joins its two texts (below 1e-5 a pair at the
+threshold itself, less above). At most one edge per member leaves a unit of work, no pair is emitted as a row, and no group is
+gathered in one task: blocks are bounded, sorted groups span partitions, and keys with many rows are joined by broadcast.
 
 Defined results: words are runs without ASCII white space after lower-casing A-Z; fewer words than a shingle form one
 shingle; null, empty and blank texts have an empty set and are linked with nothing; equal texts are linked; rows that
@@ -23,10 +26,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, partitions
+from .common import frugal, materialize, partitions, split_by
 from .components import components
 
 SHINGLE = 5
@@ -34,8 +37,9 @@ BANDS, ROWS, BITS = 24, 4, 4
 PERMUTATIONS = BANDS * ROWS
 MARGIN = 0.19  # about five standard deviations of the estimate at 0.85
 BUCKET_BLOCK = 512  # members of a bucket compared at once
+ORDERS = (0, 8, 16)  # bands by which large clusters are sorted
 CLUSTER_BLOCK, CLUSTER_SHINGLES = 256, 400_000  # documents and shingles of a cluster compared at once
-REMEMBER = 300_000  # word hashes kept in a task
+REMEMBER, LONGEST = 300_000, 64  # word hashes kept in a task, and bytes of a word that is kept
 
 _rng = np.random.default_rng(20_240_817)
 _MULTIPLY = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
@@ -54,9 +58,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBER:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -89,9 +95,9 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return _mix((rows * _ODD[8 : 8 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[20]).view(np.int64)
 
 
-def pack(m: np.ndarray) -> bytes:
+def pack(m: np.ndarray) -> np.ndarray:
     low = (m & np.uint32(2**BITS - 1)).astype(np.uint8)
-    return (low[0::2] | (low[1::2] << 4)).tobytes()
+    return (low[0::2] | (low[1::2] << 4)).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,6 +110,22 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
 
 
+def most_unequal(least: float) -> int:
+    """Most minima that may differ where the estimate is to reach least."""
+    return int(PERMUTATIONS * (1 - 2.0**-BITS) * (1 - least) + 1e-9)
+
+
+def unequal(a: Column, b: Column) -> Column:
+    """Number of packed minima that differ, for signatures as arrays of longs."""
+    total = F.lit(0)
+    for i in range(PERMUTATIONS * BITS // 64):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(int(_LANES))))
+    return total
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n rows the smallest row it is connected with by the pairs."""
     root = np.arange(n)
@@ -134,7 +156,7 @@ def _sign(size: int):
                 seq.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
                 bands.append(band_keys(m))
                 sigs.append(pack(m))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.binary()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "seq", "n_shingles", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq, pa.binary()), pa.array(count, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "seq", "n_shingles", "bands", "sig"])
 
     return run
 
@@ -180,7 +202,10 @@ def _edges_schema():
 
 
 def _loose(least: float):
-    """Rows (band, i, j, side, id, sig), sorted: edges between members whose signatures are close."""
+    """Rows (band, i, j, side, id, sig), sorted: edges between members whose signatures are close.
+
+    Members of side -1 are compared with all others of their unit, sides 0 and 1 with each other.
+    """
 
     def run(batches):
         for table in _groups(batches, 6):
@@ -192,18 +217,20 @@ def _loose(least: float):
             group, at = group[many], np.flatnonzero(many)
             small = table.take(pa.array(at))
             left = np.repeat(sizes, sizes)[many] - (at - starts[group])  # rows of the group from here on
-            ids, side, cross = small.column("id").to_numpy(), small.column("side").to_numpy(), small.column("i").to_numpy() != small.column("j").to_numpy()
-            sig = np.frombuffer(b"".join(small.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
-            pairs = []
+            ids, side = small.column("id").to_numpy(), small.column("side").to_numpy()
+            sig = small.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+            found_a, found_b = [], []
             for d in range(1, int(left.max())):
                 k = np.flatnonzero(left > d)
-                k = k[~cross[k] | (side[k] != side[k + d])]
+                k = k[(side[k] < 0) | (side[k] != side[k + d])]
                 for s in range(0, len(k), 65_536):
                     part = k[s : s + 65_536]
-                    pairs.append(part[estimate(sig[part], sig[part + d]) >= least] * np.int64(4096) + d)
-            found = np.concatenate(pairs) if pairs else np.empty(0, np.int64)
-            a, d = found // 4096, found % 4096
-            root = local_roots(len(ids), a, a + d)
+                    close = part[estimate(sig[part], sig[part + d]) >= least]
+                    found_a.append(close)
+                    found_b.append(close + d)
+            if not found_a:
+                continue
+            root = local_roots(len(ids), np.concatenate(found_a), np.concatenate(found_b))
             moved = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], schema=_edges_schema())
 
@@ -237,61 +264,162 @@ def similar_pairs(sets: list[np.ndarray], percent: int, side: np.ndarray | None
     return a[link], b[link]
 
 
+def _links(ids, texts, percent: int, size: int, hashes: _Hashes, side=None, label=None):
+    """Edges (a, b) that connect what full sets link; pairs of one label are connected already."""
+    sets = [shingles(words(t), hashes, size) for t in texts]
+    a, b = similar_pairs(sets, percent, side)
+    if label is not None:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    root = local_roots(len(sets), a, b) if len(a) else np.arange(len(sets))
+    moved = np.flatnonzero(root != np.arange(len(sets)))
+    return ids[moved], ids[root[moved]]
+
+
+def _edges(found):
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=_edges_schema())
+
+
 def _confirm(percent: int, size: int):
-    """Rows (root, i, j, side, id, text), sorted: edges between members similar enough on full sets."""
+    """Rows (root, i, j, side, id, label, text), sorted: edges between members of a unit that are similar enough on full sets."""
 
     def run(batches):
         hashes = _Hashes()
-        for table in _groups(batches, 6):
+        for table in _groups(batches, 7):
             _, starts = _starts(table)
-            ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-            texts = table.column("text")
-            out_a, out_b = [], []
+            ids, side, label = (table.column(c).to_numpy() for c in ("id", "side", "label"))
+            texts, found = table.column("text"), []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                sets = [shingles(words(t), hashes, size) for t in texts.slice(s, e - s).cast(pa.binary()).to_pylist()]
-                a, b = similar_pairs(sets, percent, side[s:e] if i[s] != j[s] else None)
-                if len(a):
-                    root = local_roots(e - s, a, b)
-                    moved = np.flatnonzero(root != np.arange(e - s))
-                    out_a.append(ids[s:e][moved])
-                    out_b.append(ids[s:e][root[moved]])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], schema=_edges_schema())
+                crossed = side[s] >= 0
+                if e - s > 1 and not (crossed and side[s:e].min() == side[s:e].max()):
+                    found.append(_links(ids[s:e], texts.slice(s, e - s).cast(pa.binary()).to_pylist(), percent, size, hashes, side[s:e] if crossed else None, label[s:e] if crossed else None))
+            if found:
+                yield _edges(found)
+
+    return run
+
+
+def _neighbours(percent: int, size: int, block: int, weightiest: int):
+    """Rows (order, root, id, n_shingles, text), sorted by likeness within a root: edges found in blocks of neighbours."""
+
+    def run(batches):
+        hashes, held, weight, mine, texts = _Hashes(), [], 0, None, []
+        for batch in batches:
+            for order, root, i, n, text in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
+                if (order, root) != mine or len(held) >= block or weight + n > weightiest:
+                    if len(held) > 1:
+                        yield _edges([_links(np.array(held), texts, percent, size, hashes)])
+                    held, texts, weight, mine = [], [], 0, (order, root)
+                held.append(i)
+                texts.append(text)
+                weight += n
+        if len(held) > 1:
+            yield _edges([_links(np.array(held), texts, percent, size, hashes)])
 
     return run
 
 
-def _blocks(rows: DataFrame, key: str, n: str, value: str) -> DataFrame:
-    """A row (key, i, j, side, id, value) for each pair of blocks that a row belongs to; n: blocks of its group."""
-    mine = F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    other = rows.withColumn("side", mine).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1)))
-    return other.select(key, F.least("side", "__o").alias("i"), F.greatest("side", "__o").alias("j"), "side", "id", value)
-
-
-def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row per input row: key, n_shingles, component_id (smallest id reachable by links) and kept."""
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(frugal(_sign(size)), "doc_id long, seq binary, n_shingles long, bands array<long>, sig binary"), "minhash-signatures")
-    linked = signed.where("seq is not null and doc_id is not null")
-    nodes = materialize(linked.groupBy("seq").agg(F.min("doc_id").alias("rep")), "minhash-nodes")
-    heads = signed.join(nodes.select(F.col("rep").alias("doc_id"), F.col("seq").alias("s2")), "doc_id").where("seq = s2").dropDuplicates(["doc_id", "seq"])
-    members = heads.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), "sig")
-    large = materialize(members.groupBy("band").count().where(F.col("count") > BUCKET_BLOCK).select("band", F.ceil(F.col("count") / BUCKET_BLOCK).alias("blocks")), "minhash-large")
-    cut = members.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    near = _blocks(cut, "band", "blocks", "sig").repartition(n_parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    loose = components(near.mapInArrow(frugal(_loose(percent / 100 - MARGIN)), "a long, b long"))
-
-    counted = loose.join(heads.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), F.col("node") == F.col("doc_id")).select("root", F.col("node").alias("id"), "n_shingles")
-    counted = materialize(counted, "minhash-clusters")
-    blocks = counted.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n_shingles") / CLUSTER_SHINGLES)).alias("blocks"))
-    texts = rows.join(counted.join(blocks, "root").select("root", F.col("id"), "blocks"), F.col("doc_id") == F.col("id"))
-    near = _blocks(texts, "root", "blocks", "text").repartition(n_parts, "root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-    exact = components(near.mapInArrow(frugal(_confirm(percent, size)), "a long, b long"))
-
-    found = signed.select("doc_id", "seq", "n_shingles").join(nodes, "seq", "left").join(exact, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("seq").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
-    found = found.select("doc_id", "n_shingles", component.alias("component_id"))
-    return found.select(F.col("doc_id").alias(key), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+def _crossed(rows: DataFrame, key: str, n: str, n_open: str, columns: list[str]) -> DataFrame:
+    """Rows (key, i, j, side, columns) that meet open rows (side 0) in blocks of n_open with all rows (side 1) in blocks of n."""
+    mine = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
+    opened = rows.where("open").select(key, mine(n_open).alias("i"), every(n).alias("j"), F.lit(0).alias("side"), *columns)
+    return opened.unionByName(rows.select(key, every(n_open).alias("i"), mine(n).alias("j"), F.lit(1).alias("side"), *columns))
+
+
+def _whole(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of small groups, each a unit of its own."""
+    return rows.select(key, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side"), *columns)
+
+
+def _dealt(units: DataFrame, key: str) -> DataFrame:
+    return units.repartition(partitions(units.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", "id")
+
+
+def _loose_clusters(heads: DataFrame, least: float) -> DataFrame:
+    """(node, root) by edges between close signatures in the buckets."""
+    members = heads.select(F.explode("bands").alias("band"), "id", "sig")
+    large = members.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("head")).where(F.col("n") > BUCKET_BLOCK)
+    large = materialize(large, "minhash-large")
+    compared = lambda units: _dealt(units, "band").mapInArrow(frugal(_loose(least)), "a long, b long")
+    if large.isEmpty():
+        return components(compared(_whole(members, "band", ["id", "sig"])))
+    first = heads.groupBy("id").agg(F.min("sig").alias("head_sig"))  # one text of an id that has several
+    large = materialize(large.join(first.withColumnRenamed("id", "head"), "head"), "minhash-large")
+    within, outside = split_by(members, large, "band")
+    close = unequal(F.col("sig"), F.col("head_sig")) <= most_unequal(least)
+    star = within.where(close).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    blocks = lambda c: F.ceil(F.col(c) / BUCKET_BLOCK)
+    open_ = materialize(within.where(~close).groupBy("band").agg(F.count("*").alias("n_open")).select("band", blocks("n_open").alias("n_open")), "minhash-open")
+    again = large.join(open_, "band").select("band", "n", "head_sig", blocks("n").alias("blocks"), "n_open")
+    far = split_by(members, again, "band")[0].withColumn("open", ~close)
+    units = _whole(outside, "band", ["id", "sig"]).unionByName(_crossed(far, "band", "blocks", "n_open", ["id", "sig"]))
+    return components(compared(units).unionByName(star))
+
+
+def _linked(clusters: DataFrame, percent: int, size: int) -> DataFrame:
+    """(node, root) by links on full sets within loose clusters (cluster, id, n_shingles, bands, text)."""
+    compared = lambda units: _dealt(units, "cluster").mapInArrow(frugal(_confirm(percent, size)), "a long, b long")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    large = materialize(sizes.where((F.col("n") > CLUSTER_BLOCK) | (F.col("weight") > CLUSTER_SHINGLES)), "minhash-clusters")
+    within, outside = split_by(clusters, large, "cluster")
+    small = compared(_whole(outside, "cluster", ["id", F.col("id").alias("label"), "text"]))
+    if large.isEmpty():
+        return components(small)
+    within = materialize(within.withColumn("orders", F.array(*(F.get("bands", F.lit(b)) for b in ORDERS))).drop("bands"), "minhash-texts")
+    ordered = within.select("cluster", "id", "n_shingles", "text", F.posexplode("orders").alias("order", "like"))
+    ordered = ordered.repartitionByRange(partitions(ordered.sparkSession), "order", "cluster", "like", "id").sortWithinPartitions("order", "cluster", "like", "id")
+    near = ordered.select("order", "cluster", "id", "n_shingles", "text").mapInArrow(frugal(_neighbours(percent, size, CLUSTER_BLOCK, CLUSTER_SHINGLES)), "a long, b long")
+    edges = materialize(small.unionByName(near), "minhash-links")
+    so_far = components(edges)
+
+    # What lies outside its cluster's largest component is compared with all of the cluster that it isn't connected with.
+    names = within.select("cluster", "id").distinct().join(so_far, F.col("id") == F.col("node"), "left").select("cluster", "id", F.coalesce("root", "id").alias("label"))
+    names = materialize(names, "minhash-labels")
+    counts = names.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    open_ = largest.select("cluster", F.col("top.label").alias("settled"), (F.col("all") - F.col("top.n")).alias("n_open")).where("n_open > 0")
+    open_ = large.join(open_, "cluster").select("cluster", "n", "settled", F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("weight") / CLUSTER_SHINGLES)).alias("blocks"), "n_open")
+    # Open members are taken for as long as the others.
+    open_ = materialize(open_.withColumn("n_open", F.ceil(F.col("blocks") * F.col("n_open") / F.col("n"))), "minhash-open")
+    if open_.isEmpty():
+        return so_far
+    left = split_by(names, open_, "cluster")[0].select("cluster", "id", "label", "blocks", "n_open", (F.col("label") != F.col("settled")).alias("open"))
+    left = within.select("id", "text").join(left, "id")
+    return components(edges.unionByName(compared(_crossed(left, "cluster", "blocks", "n_open", ["id", "label", "text"]))))
+
+
+def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", size: int = SHINGLE, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: key, n_shingles, component_id (smallest key reachable by links) and kept.
+
+    Of a component the row of least ties (nulls last), then of least key is kept.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"tie{i}") for i, c in enumerate(ties)))
+    signed = rows.select("doc_id", "text").mapInArrow(frugal(_sign(size)), "doc_id long, seq binary, n_shingles long, bands array<long>, sig array<long>")
+    signed = materialize(signed, "minhash-signatures")
+    known = signed.where("seq is not null and doc_id is not null")
+    # Rows of one word sequence agree in all but their id.
+    nodes = materialize(known.groupBy("seq").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))), "minhash-nodes")
+    loose = _loose_clusters(nodes.select("id", "bands", "sig"), percent / 100 - MARGIN)
+    members = nodes.join(loose, F.col("id") == F.col("node")).select(F.col("root").alias("cluster"), "id", "n_shingles", "bands")
+    members = materialize(members, "minhash-members")
+    texts = rows.select(F.col("doc_id").alias("id"), "text")
+    repeated = materialize(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("doc_id", "id"), "minhash-repeated")
+    if not repeated.isEmpty():  # one row for each text of an id that several rows have
+        many, once = split_by(texts, repeated, "id")
+        texts = once.unionByName(many.select("id", "text").distinct())
+        members = members.groupBy("cluster", "id").agg(F.max("n_shingles").alias("n_shingles"), F.max("bands").alias("bands"))
+    exact = _linked(members.join(texts, "id"), percent, size)
+
+    named = nodes.select("seq", "id", "n").join(exact, F.col("id") == F.col("node"), "left").select("seq", "n", F.coalesce("root", "id").alias("component"))
+    if ties:
+        rank = F.struct(*(x for i in range(len(ties)) for x in (F.col(f"tie{i}").isNull().alias(f"u{i}"), F.col(f"tie{i}"))), "doc_id")
+        ranked = split_by(known.select("doc_id", "seq"), named, "seq")[0].select("doc_id", "component")
+        ranked = ranked.join(rows.drop("text"), "doc_id").groupBy("component").agg(F.min(rank)["doc_id"].alias("first"), F.count("*").alias("m"))
+        named = split_by(named, ranked.withColumnRenamed("m", "n2").withColumnRenamed("first", "first"), "component", "n2")[0]
+    found = split_by(known.select("doc_id", "seq", "n_shingles"), materialize(named, "minhash-named"), "seq")[0]
+    best = F.col("first" if ties else "component")
+    found = found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == best).alias("kept"))
+    alone = signed.where("seq is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.unionByName(alone).withColumnRenamed("doc_id", key)

@@ -41,7 +41,43 @@ def test_large_group_over_partitions(spark):
     assert result(exact_dedup.groups(df)) == brute(rows)
 
 
-def test_colliding_digests_are_told_apart():
-    batch = lambda ids, texts: pa.RecordBatch.from_pydict({"doc_id": ids, "length": ids, "norm": texts, "sha": ["s"] * len(ids)})
-    got = [r for b in exact_dedup._neighbours(iter([batch([1, 2], ["a", "a"]), batch([3, 4], ["b", "b"])])) for r in b.to_pylist()]
-    assert [r["label"] for r in got] == ["s", "s", "s#1", "s#1"]
+def _sorted(texts, sizes=None):
+    """Batches of rows (key, sha, part, norm) in the order given, all with one digest."""
+    at = 0
+    for n in sizes or [len(texts)]:
+        yield pa.RecordBatch.from_pydict({"key": list(range(at, at + n)), "sha": [b"s"] * n, "part": [0] * n, "norm": texts[at : at + n]}, schema=pa.schema([("key", pa.int64()), ("sha", pa.binary()), ("part", pa.int32()), ("norm", pa.string())]))
+        at += n
+
+
+def test_runs_are_told_by_texts_alone():
+    """Equal digests don't make equal texts, and batches may cut runs anywhere."""
+    for texts in (["a", "a", "b", "b", "b", "c"], ["a"] * 6, ["a", "b", "c", "d", "d", "d"], ["", "", "x", "x", "x", "x"]):
+        for sizes in ([6], [1] * 6, [2, 3, 1], [3, 0, 3], [5, 1]):
+            got = [r for b in exact_dedup._runs(_sorted(texts, sizes)) for r in b.to_pylist()]
+            start = {t: texts.index(t) for t in texts}
+            assert [(r["key"], r["keep"], r["size"], r["first"]) for r in got] == [(i, start[t], texts.count(t), i == start[t]) for i, t in enumerate(texts)]
+            edge = (texts[0], texts[-1])
+            assert [r["run"] is not None for r in got] == [t in edge for t in texts]
+            assert [r["border"] for r in got] == [t if t in edge and i == start[t] else None for i, t in enumerate(texts)]
+    assert list(exact_dedup._runs(_sorted([], [0]))) == []
+
+
+def test_groups_across_several_partitions(spark, monkeypatch):
+    """Groups that begin, fill and end partitions, with unequal texts whose beginnings agree."""
+    head = "the same beginning of every text, longer than a splitter's share "
+    rows = [(i, head + "A" + " " * (i % 5)) for i in range(700)] + [(1000 + i, head + f"B{i // 200}") for i in range(600)] + [(5000 + i, head + str(i)) for i in range(150)] + [(None, head + "A"), (3, head + "A"), (3, None), (4, " ")]
+    for n in (1, 5, 40):
+        monkeypatch.setattr(exact_dedup, "partitions", lambda spark, n=n: n)
+        assert result(exact_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == brute(rows)
+
+
+def test_ties_decide_before_the_key(spark):
+    rows = [(1, "x y", 9), (2, "xy ", 4), (3, "x  y", 9), (4, "x\ty ", 2), (5, "q", None), (6, "q", 3)]
+    got = exact_dedup.groups(spark.createDataFrame(rows, "row long, text string, doc_id long"), "row", ties=("doc_id",)).collect()
+    assert {r["row"]: (r["keep_id"], r["group_size"]) for r in got} == {1: (4, 4), 2: (4, 4), 3: (4, 4), 4: (4, 4), 5: (6, 2), 6: (6, 2)}
+    assert sorted(r["row"] for r in got if r["kept"]) == [4, 6]
+
+
+def test_no_shuffle_by_group(spark, documents):
+    plan = exact_dedup.groups(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan

@@ -59,6 +59,31 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got == brute(rows, 85)
 
 
+def test_star_estimate_equals_the_tasks(spark):
+    rng = np.random.default_rng(2)
+    a = rng.integers(-(2**63), 2**63 - 1, (50, 6))
+    b = np.where(rng.random((50, 6)) < 0.5, a, a ^ rng.integers(0, 2**20, (50, 6)))
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))], "i int, a array<long>, b array<long>")
+    got = [r["d"] for r in df.orderBy("i").select(minhash.unequal(df["a"], df["b"]).alias("d")).collect()]
+    for least in (0.3, 0.61, 0.66, 0.8):
+        assert [d <= minhash.most_unequal(least) for d in got] == (minhash.estimate(a.view(np.uint64), b.view(np.uint64)) >= least).tolist()
+
+
+def test_many_texts_under_one_id(spark):
+    """More unequal but similar texts of one id than any packed pair of numbers would hold, in one bucket."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(7, " ".join([*base, f"x{i}"])) for i in range(5000)] + [(3, " ".join([*base, "y"])), (9, " ".join(base)), (8, "quite another text that nobody else has here")] + [(9, " ".join(base))] * 3
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert got == {(7, 3, False), (3, 3, True), (9, 3, False), (8, 8, True)}
+
+
+def test_ties_decide_who_is_kept(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base), None), (2, " ".join([*base, "x"]), 4), (3, " ".join([*base, "y"]), 2), (4, " ".join([*base, "y"]), 2), (5, "alone here", None), (6, None, 1)]
+    got = {r["row"]: (r["component_id"], r["kept"]) for r in minhash.groups(spark.createDataFrame(rows, "row long, text string, doc_id long"), key="row", ties=("doc_id",)).collect()}
+    assert got == {1: (1, False), 2: (1, False), 3: (1, True), 4: (1, False), 5: (5, True), 6: (6, True)}
+
+
 def test_awkward_rows(awkward, empty):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.groups(awkward).collect()]
     by = {g[0]: g for g in got}
@@ -78,7 +103,7 @@ def test_estimate_is_corrected():
             common = rng.integers(0, 2**63, int(600 * j), dtype=np.uint64)
             sets = [np.unique(np.concatenate([common, rng.integers(0, 2**63, (600 - len(common)) // 2, dtype=np.uint64)])) for _ in range(2)]
             true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
-            a, b = (np.frombuffer(minhash.pack(minhash.minima(s)), np.uint64) for s in sets)
+            a, b = (minhash.pack(minhash.minima(s)).view(np.uint64) for s in sets)
             errors.append(minhash.estimate(a[None], b[None])[0] - true)
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.2
 
@@ -98,6 +123,7 @@ def test_components_of_random_graphs(spark):
         if a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: find(i) for i in root}
+    for small in (0, 30, 10**6):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+        assert got == {i: find(i) for i in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
