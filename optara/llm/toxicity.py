@@ -5,9 +5,9 @@ word occurs. A unit is a word or a stem (a prefix shared by several words). Its
 Dirichlet prior (two classes) centred on its parent's share, the parent of a word being its longest
 stem and of a stem the whole sample; the log-odds against the base share, less a fixed cost per word,
 is the word's score. Scoring finds all maximal scoring segments of a text in one linear scan
-(Ruzzo and Tompa) and turns their scores into E-values with the extreme-value law of Karlin and
-Altschul, whose parameters come from the untoxic rows of the sample. Significant segments, each distinct one once, are joined
-by the sum statistic, and a logistic curve fitted on the sample maps it to 0..1.
+(Ruzzo and Tompa) and turns their scores into E-values K n exp(-lam S), the extreme-value law of Karlin and
+Altschul, with lam and K fitted to the highest segments of the sample's untoxic texts (peaks over a threshold). Significant
+segments, each distinct one once, are joined by the sum statistic, and a logistic curve fitted on the sample maps it to 0..1.
 
 Defined results: null and empty texts hold no word and get the score of a text without a passage;
 repeated rows get equal scores; a label table with one class only scores every text 0; extra columns
@@ -33,6 +33,7 @@ from .sample import labelled
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Bounds of the model: labelled rows used, units kept.
 MAX_TRAIN_ROWS, MAX_UNITS = 20_000, 200_000
+LONGEST = 64  # characters of a word whose score is remembered
 STEMS = range(4, 9)  # lengths of stems
 MIN_COUNT, MIN_WORDS = 4, 3  # documents for a unit, distinct words for a stem
 PRIOR, COST, TOP = 2.0, 1.0, 8.0  # strength of the prior, cost per word, largest score of a word
@@ -59,28 +60,34 @@ class Model:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a score sequence, by the linear-time scan.
+    """All maximal scoring segments (start, end, score) of a score sequence, in linear time.
 
-    Only runs of positive scores enter the stack; negative stretches are read off prefix sums.
+    Only positive scores open a candidate; negative stretches are read off prefix sums. Each candidate keeps a link to the
+    last one before it that begins at a smaller sum, so that a search never passes a candidate twice. Where there is none, all
+    candidates so far are maximal and are handed out.
     """
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before start, sum up to end
-    for i in positive.tolist():
-        start, left, right = i, float(total[i]), float(total[i + 1])
-        end = i + 1
+    out: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before start, sum up to end, link
+    for i, left, right in zip(positive.tolist(), total[positive].tolist(), total[positive + 1].tolist(), strict=True):
+        start, link = i, len(stack) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
+            while link >= 0 and stack[link][2] >= left:
+                link = stack[link][4]
+            if link < 0:
+                out += [(s, e, r - b) for s, e, b, r, _ in stack]
+                stack = [(start, i + 1, left, right, -1)]
                 break
-            start, left = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((start, end, left, right))
-    return [(s, e, r - b) for s, e, b, r in stack]
+            if stack[link][3] >= right:
+                stack.append((start, i + 1, left, right, link))
+                break
+            start, _, left, _, before = stack[link]
+            del stack[link:]
+            link = before
+    return out + [(s, e, r - b) for s, e, b, r, _ in stack]
 
 
 class Scorer:
@@ -97,7 +104,9 @@ class Scorer:
         for w in words:
             s = seen.get(w)
             if s is None:
-                s = seen[w] = model.word(w)
+                s = model.word(w)
+                if len(w) <= LONGEST:
+                    seen[w] = s
             out.append(s)
         return np.array(out)
 
@@ -130,11 +139,27 @@ class Scorer:
         return max(strong[0], t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r)), r
 
     def score(self, text: str | None) -> tuple[float, int, float]:
+        if not self.model.words and not self.model.stems:
+            return 0.0, 0, 0.0
         stat, r = self.statistic(*self.evidence(text))
         z = self.model.slope * math.log1p(stat) + self.model.bias
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z)))), r, stat
 
 
+def tail(scores: np.ndarray, words: float, best: float) -> tuple[float, float]:
+    """(lam, K) of the law that words words hold K * words * exp(-lam * x) segments of score x or more.
+
+    Peaks over a threshold: the upper half of the segments' scores is taken as exponential above its least one, and lam is the
+    likeliest rate; a segment of score best counts besides, for what the sample didn't show. Scores are log-odds, so that
+    lam is 1 where the sample tells nothing.
+    """
+    u = float(np.median(scores)) if len(scores) else best
+    over = np.append(scores[scores >= u], best)
+    above = float((over - u).sum())
+    lam = min(50.0, max(1e-3, (len(over) - 1) / above)) if len(over) > 1 and above > 1e-9 else 1.0
+    return lam, min(1.0, max(1e-9, len(over) / max(1.0, words) * math.exp(lam * u)))
+
+
 def _count_words(batches):
     """Partial (word, toxic documents, other documents) counts of (text, toxic) rows."""
     sides = (Counter(), Counter())
@@ -211,19 +236,8 @@ def _calibrate(model: Model, rows: DataFrame, untoxic: int) -> None:
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "n": [n for n, _ in got], "s": [s for _, s in got]}, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]))
 
     got = rows.select("text", "toxic").mapInArrow(frugal(scan), "toxic int, n long, s array<double>").collect()
-    n = sum(r["n"] for r in got if not r["toxic"]) or 1
-    high = [s for r in got if not r["toxic"] for s in r["s"]]
-    # Positive scores in untoxic text, one more for what the sample didn't show; the rest cost COST each.
-    share = (len(high) + 1) / (n + 1)
-    step = float(np.mean(high)) if high else best
-    lo, hi = 1e-3, 50.0
-    for _ in range(80):  # the root of E[exp(lam * score)] = 1
-        lam = (lo + hi) / 2
-        over = share * math.exp(min(600.0, lam * step)) + (1 - share) * math.exp(-lam * COST) > 1
-        lo, hi = (lo, lam) if over else (lam, hi)
-    model.lam = lo
-    model.k = (len(high) + 1) / n * math.exp(lo * (min(high) if high else step))
-    model.k = min(1.0, max(1e-9, model.k))
+    clean = [r for r in got if not r["toxic"]]
+    model.lam, model.k = tail(np.array([s for r in clean for s in r["s"]]), sum(r["n"] for r in clean), best)
     scorer = Scorer(model)
     x = np.array([math.log1p(scorer.statistic(r["n"], r["s"])[0]) for r in got])
     y = np.array([float(r["toxic"]) for r in got])
