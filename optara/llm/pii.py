@@ -12,6 +12,7 @@ are code points with the end exclusive, over whole texts; extra columns are igno
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from dataclasses import dataclass
@@ -28,12 +29,16 @@ ADDED = ("iban", "national_phone", "short_card", "secret")
 KINDS = BASE + ADDED
 WINDOW, MIN_SCORE = 40, 0.6
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# An email has one @: what stands before it, and the domain that must follow. Runs of digits joined by points hold the ips.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+POINTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", re.ASCII)
-NATIONAL = re.compile(r"(?:\([0-9]{2,5}\)\x20?|0)[0-9]+(?:[\x20.-][0-9]+)+")
+# An area code in brackets with groups of digits, or groups of digits alone, which count from their first zero on.
+NATIONAL = re.compile(r"(\([0-9]{2,5}\)\x20?[0-9]++(?:[\x20.-][0-9]++)++)|[0-9]++(?:[\x20.-][0-9]++)*+")
+ZERO, GAP = re.compile(r"0[0-9]"), re.compile(r"[\x20.-]")
 SECRET = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,})\b", re.ASCII)
 
 #: prior score and context words by kind; a word raises the score by BONUS.
@@ -77,12 +82,50 @@ class Span:
     score: float
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
+def email_spans(text: str) -> list[tuple[str, int, int]]:
+    """From each @ to both sides, as far as a match that begins behind the one before would go."""
+    out, low = [], 0
+    while (at := text.find("@", low)) >= 0:
+        start = low + len(text[low:at].rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append(("email", start, m.end()))
+        low = m.end() if m else at + 1
+    return out
+
+
+def ip_spans(text: str) -> list[tuple[str, int, int]]:
+    """Four by four, the numbers of each run."""
+    out = []
+    for m in POINTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) < 4 and int(p) <= 255 or len(p) > 3 and len(v := p.lstrip("0")) < 4 and int(v or "0") <= 255 for p in four):
+                out.append(("ip", at, end))
+            at = end + 1
+    return out
+
+
+def national_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
-    if "@" in text:
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
+    for m in NATIONAL.finditer(text):
+        start, end = m.span()
+        if m[1] is None:
+            zero = ZERO.search(text, start, end)
+            if not zero or not GAP.search(text, zero.end(), end):
+                continue
+            start = zero.start()
+        if 8 <= len(digits(text[start:end])) <= 13 and text[max(0, start - 1) : start] not in tuple("0123456789+.-"):
+            out.append(("national_phone", start, end))
+    return out
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    out = email_spans(text)
     if text.count(".") >= 3:
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 if len(p) < 4 else not p.lstrip("0") or int(p.lstrip("0")[:4]) <= 255 for p in m[0].split("."))]
+        out += ip_spans(text)
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := digits(m[0])) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -106,7 +149,7 @@ def iban_spans(text: str) -> list[tuple[str, int, int]]:
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     out = iban_spans(text)
     if ")" in text or "0" in text:
-        out += [("national_phone", m.start(), m.end()) for m in NATIONAL.finditer(text) if 8 <= len(digits(m[0])) <= 13 and text[m.start() - 1 : m.start()] not in tuple("0123456789+.-")]
+        out += national_spans(text)
     out += [("short_card", m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := digits(m[0])) <= 15 and luhn(d)]
     return out + [("secret", m.start(), m.end()) for m in SECRET.finditer(text)]
 
@@ -120,16 +163,37 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, CONTEXT[kind][0] + BONUS * bool(_NEAR[kind].search(near)))
 
 
+class Taken:
+    """Places in a text, as sorted intervals that don't overlap."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a place unless part of it is taken."""
+        i = bisect.bisect_left(self.starts, end)  # places from i on begin behind it
+        if i and self.ends[i - 1] > start:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 def find(text: str | None) -> list[Span]:
     """All spans: base kinds as listed, then added kinds; by start within a kind."""
     if not text:
         return []
     got = [Span(*s, score(text, *s)) for s in base_spans(text)]
-    taken = [(s.start, s.end) for s in got]
+    taken = Taken((s.start, s.end) for s in got)
     for s in added_spans(text):
         v = score(text, *s)
-        if v >= MIN_SCORE and all(e <= s[1] or b >= s[2] for b, e in taken):
-            taken.append(s[1:])
+        if v >= MIN_SCORE and taken.add(*s[1:]):
             got.append(Span(*s, v))
     return got
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from optara.llm import pii
 
@@ -55,3 +57,43 @@ def test_iban_before_another_word():
             assert found(f"to {t}{after}") == [t]
     assert found("AT61 1904 3002 3457 3201 ES91 2100 0418 4502 0005 1332 OK") == ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"]
     assert found("ES9121000418450200051333 BIC") == found("ES9121000418450200051332Q") == []
+
+
+def test_added_spans_match_their_patterns(documents):
+    """The linear proposals against the plain patterns."""
+    national = re.compile(r"(?:\([0-9]{2,5}\)\x20?|0)[0-9]+(?:[\x20.-][0-9]+)+")
+
+    def plain(t):
+        return [("national_phone", m.start(), m.end()) for m in national.finditer(t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 13 and t[max(0, m.start() - 1) : m.start()] not in tuple("0123456789+.-")]
+
+    rng = random.Random(8)
+    made = ["".join(rng.choices("0012 .-(a)+", k=rng.randint(1, 40))) for _ in range(4000)]
+    made += ["(030) 123 456 78", "50123 0456 789", "(12)0345 678 90", "((030) 12 34 56 78", "00 00", "0 12 34 56 78"]
+    for t in made + [r["text"] or "" for r in documents.collect()]:
+        assert pii.national_spans(t) == plain(t), t
+    mixed = ["".join(rng.choices("ab.@1-_ ", k=rng.randint(1, 40))) for _ in range(4000)] + ["".join(rng.choices("0125.5", k=rng.randint(1, 40))) for _ in range(4000)]
+    for t in mixed:
+        assert pii.base_spans(t) == brute(t), t
+
+
+def test_long_runs_take_linear_time():
+    n = 1_000_000
+    runs = ["a" * n + " x@b.co", "a" * n + "@", "@" * n, "a@" * (n // 2), "a@b." * (n // 4), "1." * (n // 2), "1" * n, "0" * n + ")", "(" * n + "0" * n, "(00)" * (n // 4), "0 " * (n // 2), "1 1-" * (n // 4), "+1" * (n // 2), "+" + "1(" * (n // 2), "A" * n, "AA00" * (n // 4), "ES91 " * (n // 5), "sk_live_" * (n // 8)]
+    for t in runs:
+        began = time.process_time()
+        pii.find(t)
+        assert time.process_time() - began < 5, t[:20]
+    many = " ".join(f"a{i}@b.co iban GB82 WEST 1234 5698 7654 32" for i in range(20_000))
+    began = time.process_time()
+    assert len(pii.find(many)) == 40_000 and time.process_time() - began < 15
+
+
+def test_taken_places():
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(s, s + rng.randint(1, 6)) for s in (rng.randint(0, 40) for _ in range(10))]
+        taken, plain = pii.Taken(spans[:4]), spans[:4]
+        for s, e in spans[4:]:
+            free = all(b <= s or a >= e for a, b in plain)
+            assert taken.add(s, e) == free
+            plain += [(s, e)] * free
