@@ -40,20 +40,21 @@ def broadcast_checked(spark: SparkSession, value, size: int, what: str):
     return spark.sparkContext.broadcast(value)
 
 
-#: A key with more than this part of all rows is heavy: there are fewer than HEAVY such keys, whatever the input's size.
+#: Keys of a table that may be broadcast whole; of more keys, those with more than this part of all rows, which are fewer.
 HEAVY = 20_000
 
 
-def split_by(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is in groups, with its columns; the other rows), where no task gets all rows of a heavy key.
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows with the columns that groups has for their key, null where it has none; no task gets all rows of a heavy key.
 
-    groups has a row for each of its keys, and in n how many rows have it. The fewer than HEAVY keys with more than that part of
-    all these rows are broadcast (groups' rows are of bounded size); the rest is an ordinary join.
+    groups has a row of bounded size for each of its keys, and in n how many rows have it. Up to HEAVY keys are broadcast. Of more, the
+    fewer than HEAVY keys with more than that part of all these rows are, and the rest is an ordinary join.
     """
-    whole = groups.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total")).first()["total"]
+    keys, whole = groups.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
+    if keys <= HEAVY:
+        return rows.join(F.broadcast(groups), key, "left")
     heavy, light = F.broadcast(groups.where(F.col(n) > whole / HEAVY)), groups.where(F.col(n) <= whole / HEAVY)
-    rest = rows.join(heavy.select(key), key, "left_anti")
-    return rows.join(heavy, key).unionByName(rest.join(light, key)), rest.join(light.select(key), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key, "left"))
 
 
 def ascii_lower(text: Column) -> Column:

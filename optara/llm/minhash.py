@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, partitions, split_by
+from .common import frugal, materialize, partitions, with_groups
 from .components import components
 
 SHINGLE = 5
@@ -347,28 +347,30 @@ def _loose_clusters(heads: DataFrame, least: float) -> DataFrame:
         return components(compared(_whole(members, "band", ["id", "sig"])))
     first = heads.groupBy("id").agg(F.min("sig").alias("head_sig"))  # one text of an id that has several
     large = materialize(large.join(first.withColumnRenamed("id", "head"), "head"), "minhash-large")
-    within, outside = split_by(members, large, "band")
+    tagged = with_groups(members, large, "band")
     close = unequal(F.col("sig"), F.col("head_sig")) <= most_unequal(least)
-    star = within.where(close).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    within = materialize(tagged.where("n is not null").select("band", "id", "sig", "head", "n", (~close).alias("open")), "minhash-buckets")
+    star = within.where("not open").select(F.col("id").alias("a"), F.col("head").alias("b"))
     blocks = lambda c: F.ceil(F.col(c) / BUCKET_BLOCK)
-    open_ = materialize(within.where(~close).groupBy("band").agg(F.count("*").alias("n_open")).select("band", blocks("n_open").alias("n_open")), "minhash-open")
-    again = large.join(open_, "band").select("band", "n", "head_sig", blocks("n").alias("blocks"), "n_open")
-    far = split_by(members, again, "band")[0].withColumn("open", ~close)
-    units = _whole(outside, "band", ["id", "sig"]).unionByName(_crossed(far, "band", "blocks", "n_open", ["id", "sig"]))
+    open_ = within.where("open").groupBy("band").agg(F.count("*").alias("n_open"), F.max("n").alias("rows"))
+    open_ = materialize(open_.select("band", "rows", blocks("rows").alias("blocks"), blocks("n_open").alias("n_open")), "minhash-open")
+    far = with_groups(within.drop("n"), open_, "band", "rows").where("rows is not null")
+    units = _whole(tagged.where("n is null"), "band", ["id", "sig"]).unionByName(_crossed(far, "band", "blocks", "n_open", ["id", "sig"]))
     return components(compared(units).unionByName(star))
 
 
-def _linked(clusters: DataFrame, percent: int, size: int) -> DataFrame:
-    """(node, root) by links on full sets within loose clusters (cluster, id, n_shingles, bands, text)."""
+def _linked(clusters: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
+    """(node, root) by links on full sets within loose clusters (cluster, id, n_shingles, text); nodes: (id, bands)."""
     compared = lambda units: _dealt(units, "cluster").mapInArrow(frugal(_confirm(percent, size)), "a long, b long")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     large = materialize(sizes.where((F.col("n") > CLUSTER_BLOCK) | (F.col("weight") > CLUSTER_SHINGLES)), "minhash-clusters")
-    within, outside = split_by(clusters, large, "cluster")
-    small = compared(_whole(outside, "cluster", ["id", F.col("id").alias("label"), "text"]))
+    tagged = with_groups(clusters, large, "cluster")
+    small = compared(_whole(tagged.where("n is null"), "cluster", ["id", F.col("id").alias("label"), "text"]))
     if large.isEmpty():
         return components(small)
-    within = materialize(within.withColumn("orders", F.array(*(F.get("bands", F.lit(b)) for b in ORDERS))).drop("bands"), "minhash-texts")
-    ordered = within.select("cluster", "id", "n_shingles", "text", F.posexplode("orders").alias("order", "like"))
+    within = tagged.where("n is not null").select("cluster", "id", "n_shingles", "text")
+    likes = F.array(*(F.get("bands", F.lit(b)) for b in ORDERS))
+    ordered = within.join(nodes.groupBy("id").agg(F.max(likes).alias("likes")), "id").select("cluster", "id", "n_shingles", "text", F.posexplode("likes").alias("order", "like"))
     ordered = ordered.repartitionByRange(partitions(ordered.sparkSession), "order", "cluster", "like", "id").sortWithinPartitions("order", "cluster", "like", "id")
     near = ordered.select("order", "cluster", "id", "n_shingles", "text").mapInArrow(frugal(_neighbours(percent, size, CLUSTER_BLOCK, CLUSTER_SHINGLES)), "a long, b long")
     edges = materialize(small.unionByName(near), "minhash-links")
@@ -377,17 +379,16 @@ def _linked(clusters: DataFrame, percent: int, size: int) -> DataFrame:
     # What lies outside its cluster's largest component is compared with all of the cluster that it isn't connected with.
     names = within.select("cluster", "id").distinct().join(so_far, F.col("id") == F.col("node"), "left").select("cluster", "id", F.coalesce("root", "id").alias("label"))
     names = materialize(names, "minhash-labels")
-    counts = names.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    open_ = largest.select("cluster", F.col("top.label").alias("settled"), (F.col("all") - F.col("top.n")).alias("n_open")).where("n_open > 0")
-    open_ = large.join(open_, "cluster").select("cluster", "n", "settled", F.ceil(F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("weight") / CLUSTER_SHINGLES)).alias("blocks"), "n_open")
-    # Open members are taken for as long as the others.
-    open_ = materialize(open_.withColumn("n_open", F.ceil(F.col("blocks") * F.col("n_open") / F.col("n"))), "minhash-open")
+    counts = names.groupBy("cluster", "label").agg(F.count("*").alias("m"))
+    largest = counts.groupBy("cluster").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all"))
+    open_ = largest.where("all > top.m").select("cluster", F.col("top.label").alias("settled"), ((F.col("all") - F.col("top.m")) / F.col("all")).alias("share"))
+    blocks = F.greatest(F.col("n") / CLUSTER_BLOCK, F.col("weight") / CLUSTER_SHINGLES)  # open members are taken for as long as the others
+    open_ = large.join(open_, "cluster").select("cluster", "n", "settled", F.ceil(blocks).alias("blocks"), F.ceil(blocks * F.col("share")).alias("n_open"))
+    open_ = materialize(open_, "minhash-open")
     if open_.isEmpty():
         return so_far
-    left = split_by(names, open_, "cluster")[0].select("cluster", "id", "label", "blocks", "n_open", (F.col("label") != F.col("settled")).alias("open"))
-    left = within.select("id", "text").join(left, "id")
-    return components(edges.unionByName(compared(_crossed(left, "cluster", "blocks", "n_open", ["id", "label", "text"]))))
+    left = with_groups(names, open_, "cluster").where("n is not null").select("id", "label", "blocks", "n_open", (F.col("label") != F.col("settled")).alias("open"))
+    return components(edges.unionByName(compared(_crossed(within.join(left, "id"), "cluster", "blocks", "n_open", ["id", "label", "text"]))))
 
 
 def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", size: int = SHINGLE, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -402,24 +403,26 @@ def groups(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str =
     # Rows of one word sequence agree in all but their id.
     nodes = materialize(known.groupBy("seq").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))), "minhash-nodes")
     loose = _loose_clusters(nodes.select("id", "bands", "sig"), percent / 100 - MARGIN)
-    members = nodes.join(loose, F.col("id") == F.col("node")).select(F.col("root").alias("cluster"), "id", "n_shingles", "bands")
+    members = nodes.join(loose, F.col("id") == F.col("node")).select(F.col("root").alias("cluster"), "id", "n_shingles")
     members = materialize(members, "minhash-members")
     texts = rows.select(F.col("doc_id").alias("id"), "text")
     repeated = materialize(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("doc_id", "id"), "minhash-repeated")
     if not repeated.isEmpty():  # one row for each text of an id that several rows have
-        many, once = split_by(texts, repeated, "id")
-        texts = once.unionByName(many.select("id", "text").distinct())
-        members = members.groupBy("cluster", "id").agg(F.max("n_shingles").alias("n_shingles"), F.max("bands").alias("bands"))
-    exact = _linked(members.join(texts, "id"), percent, size)
+        texts = with_groups(texts, repeated, "id")
+        texts = texts.where("n is null").select("id", "text").unionByName(texts.where("n is not null").select("id", "text").distinct())
+        members = members.groupBy("cluster", "id").agg(F.max("n_shingles").alias("n_shingles"))
+    clusters = materialize(texts.join(members, "id"), "minhash-texts")
+    exact = _linked(clusters, nodes.select("id", "bands"), percent, size)
 
     named = nodes.select("seq", "id", "n").join(exact, F.col("id") == F.col("node"), "left").select("seq", "n", F.coalesce("root", "id").alias("component"))
+    named = materialize(named, "minhash-named")
+    found = with_groups(known.select("doc_id", "seq", "n_shingles"), named, "seq").drop("seq", "n")
+    best = F.col("component")
     if ties:
+        found = materialize(found, "minhash-found")
         rank = F.struct(*(x for i in range(len(ties)) for x in (F.col(f"tie{i}").isNull().alias(f"u{i}"), F.col(f"tie{i}"))), "doc_id")
-        ranked = split_by(known.select("doc_id", "seq"), named, "seq")[0].select("doc_id", "component")
-        ranked = ranked.join(rows.drop("text"), "doc_id").groupBy("component").agg(F.min(rank)["doc_id"].alias("first"), F.count("*").alias("m"))
-        named = split_by(named, ranked.withColumnRenamed("m", "n2").withColumnRenamed("first", "first"), "component", "n2")[0]
-    found = split_by(known.select("doc_id", "seq", "n_shingles"), materialize(named, "minhash-named"), "seq")[0]
-    best = F.col("first" if ties else "component")
+        first = found.join(rows.drop("text"), "doc_id").groupBy("component").agg(F.min(rank)["doc_id"].alias("first"), F.count("*").alias("n"))
+        found, best = with_groups(found, materialize(first, "minhash-first"), "component"), F.col("first")
     found = found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == best).alias("kept"))
     alone = signed.where("seq is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return found.unionByName(alone).withColumnRenamed("doc_id", key)
