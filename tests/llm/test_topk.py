@@ -27,8 +27,8 @@ def test_matches_brute_force(spark, sf_dir, monkeypatch):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     assert result(topk.search(df, lambda c: c % 50 == 0)) == brute(rows)
-    monkeypatch.setattr(topk, "ROWS", 16)
-    assert result(topk.search(df, lambda c: c % 5 == 0, k=3, block=20)) == brute(rows, 3, 5)
+    monkeypatch.setattr(topk, "SAMPLE", 30)
+    assert result(topk.search(df, lambda c: c % 5 == 0, k=3, block_bytes=6000)) == brute(rows, 3, 5)
 
 
 def test_awkward_rows(spark):
@@ -52,3 +52,48 @@ def test_statistics_bound_products(segments):
     rng = np.random.default_rng(segments)
     a, b = rng.integers(-99, 99, (40, 30)).astype(float), rng.integers(-99, 99, (50, 30)).astype(float)
     assert (topk.statistics(a, segments) @ topk.statistics(b, segments).T + 1e-6 >= a @ b.T).all()
+
+
+def _blocks(rng, structured):
+    """Queries and vectors as whole numbers: isotropic, or smooth ones about centres whose segments differ."""
+    if structured:
+        centres = np.repeat(rng.normal(size=(200, 16)) * 3, 4, axis=1)
+        x = centres[rng.integers(0, 200, 6000)] + rng.normal(size=(6000, 64)) * 0.2
+    else:
+        x = rng.normal(size=(6000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    return np.arange(100), x[:100], np.arange(6000), x
+
+
+@pytest.mark.parametrize("structured", [False, True])
+def test_bounds_prune_and_lose_nothing(structured):
+    ids, q, all_ids, x = _blocks(np.random.default_rng(5), structured)
+    block = topk.Block(ids, topk.compact(q), np.full(100, -np.inf), 5)
+    for s in range(0, 6000, 500):
+        block.take(all_ids[s : s + 500], x[s : s + 500])
+    got = sorted(zip(block.at.tolist(), (-block.score).tolist(), block.found.tolist(), strict=True))
+    want = []
+    for i in ids.tolist():
+        s = (x @ q[i]).astype(int)
+        want += [(i, -int(s[j]), int(j)) for j in sorted((j for j in range(6000) if j != i), key=lambda j: (-s[j], j))[:5]]
+    assert got == sorted(want)
+    share = block.survived / block.compared
+    print(f"structured {structured}: {share:.3f} of the pairs survive the bounds")
+    assert share < (0.1 if structured else 1.0)
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(6)
+    for top in (100, 30_000, 10**7, 2**52):
+        a, b = rng.integers(-top, top, (7, 12)).astype(float), rng.integers(-top, top, (9, 12)).astype(float)
+        want = np.array([[max(-topk.LONG, min(topk.LONG, sum(int(x) * int(y) for x, y in zip(u, v, strict=True)))) for v in b] for u in a])
+        i, j = np.nonzero(rng.random((7, 9)) < 0.4)
+        assert (topk.products(topk.compact(a), topk.compact(b)) == want).all() and (topk.products(topk.compact(a), topk.compact(b), i, j) == want[i, j]).all()
+
+
+def test_wide_vectors_come_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(np.float32(v)) for v in rng.normal(size=3000)]) for i in range(130)]
+    monkeypatch.setattr(topk, "SAMPLE_BYTES", 400_000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert result(topk.search(df, lambda c: c % 10 == 0, block_bytes=100_000)) == brute(rows, 5, 10)
