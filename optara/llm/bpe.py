@@ -31,6 +31,7 @@ PIECE = re.compile(r"[^\x20\x09-\x0D]+")
 LEAF = 2048  # characters of a pre-token encoded in one go
 WINDOW = 32  # tokens on each side of a join at first
 REMEMBER = 160_000  # pieces, and words, kept in a process in each of two generations
+REMEMBER_CHARS = 16 << 20  # characters of them with their ids and decoded texts, at most
 #: Fixed value: the pre-tokenizer pattern of the word kind.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A piece of Latin letters and closing punctuation: two pre-tokens, whose letters lower-case one by one.
@@ -69,10 +70,10 @@ def load_bare(path: str):
 
 
 class Recent(dict):
-    """A dictionary of two generations: what isn't asked for while one fills up is forgotten."""
+    """A dictionary of two generations, bounded in entries and characters: what isn't asked for while one fills up is forgotten."""
 
-    def __init__(self, most: int):
-        self.most, self.old = most, {}
+    def __init__(self, most: int, chars: int = REMEMBER_CHARS):
+        self.most, self.chars, self.held, self.old = most, chars, 0, {}
 
     def find(self, key):
         found = self.get(key)
@@ -81,9 +82,15 @@ class Recent(dict):
         return found
 
     def put(self, key, value) -> None:
-        if len(self) >= self.most:
+        """Keep an entry (tokens, ids, decoded), unless it alone is an eighth of what may be kept."""
+        size = len(key) + len(value[1]) + len(value[2])
+        if size > self.chars // 8:
+            return
+        if len(self) >= self.most or self.held + size > self.chars:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += size
         self[key] = value
 
 
@@ -188,12 +195,12 @@ class Encoder:
         """The same where decoding joins tokens by spaces."""
         return len(ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
 
-    def _learn(self, new: list[str]) -> None:
-        """Put new pieces into the caches."""
-        simple, short = {}, []
+    def _learn(self, new: list[str]) -> dict[str, tuple[int, str, str]]:
+        """Entries of new pieces, which are put into the caches too."""
+        simple, short, entries = {}, [], {}
         for p in new:
             if len(p) > self.leaf:
-                self.pieces.put(p, self._entry(self.piece(p)))
+                entries[p] = self._entry(self.piece(p))
             elif m := SIMPLE.fullmatch(p):
                 simple[p] = (m[1].lower(), m[2])
             else:
@@ -211,9 +218,12 @@ class Encoder:
             if mark:
                 k, more, end = made.get(mark) or self.words.find(mark) or self._entry(self.piece(mark))
                 n, ids, text = n + k, f"{ids} {more}", f"{text} {end}"
-            self.pieces.put(p, (n, ids, text))
+            entries[p] = (n, ids, text)
         for p, e in zip(short, got[len(parts) :], strict=True):
-            self.pieces.put(p, self._spaced(e.ids))
+            entries[p] = self._spaced(e.ids)
+        for p, entry in entries.items():
+            self.pieces.put(p, entry)
+        return entries
 
     def text(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, their ids as decimals joined by one space, and the decoded text."""
@@ -226,9 +236,9 @@ class Encoder:
         got = list(map(self.pieces.get, found))
         if None in got:
             missing = dict.fromkeys(p for p, g in zip(found, got, strict=True) if g is None)
-            self._learn([p for p in missing if self.pieces.find(p) is None])
-            find = self.pieces.find
-            got = [find(p) or self._entry(self.piece(p)) if g is None else g for p, g in zip(found, got, strict=True)]
+            known = {p: self.pieces.find(p) for p in missing}
+            known |= self._learn([p for p, entry in known.items() if entry is None])
+            got = [known[p] if g is None else g for p, g in zip(found, got, strict=True)]
         got = [g for g in got if g[0]]
         return sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 

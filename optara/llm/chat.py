@@ -4,12 +4,12 @@ For each participant of a conversation the whole dialogue is rendered with that
 others as named users and system roles as they are; the mask marks what the assistant says, with the end
 marker that it must learn to emit. Only DataFrame functions run here.
 
-A dialogue is written in parts of PART_TURNS turn numbers each (part = turn div PART_TURNS), so that no
-row or task holds an unbounded conversation: the parts of one view, joined in order, are the whole
-rendering, and start_char says where a part begins in it. Ordinary dialogues have one part.
+A dialogue is written in parts of PART_TURNS rows each, by their place in the conversation, so that no
+row or task holds an unbounded conversation whatever its turn numbers: places come from a range sort with offsets. The parts of
+one view, joined in order, are the whole rendering, and start_char says where a part begins in it. Ordinary dialogues have one part.
 
 Defined results: rows of one conversation are ordered by turn, then role and text, nulls first; repeated rows
-stay, one after the other; a null role speaks as `unknown`, a null text is empty, a null turn stands in part 0
+stay, one after the other; a null role speaks as `unknown`, a null text is empty, a null turn stands
 before all others; rows with a null conversation id form one conversation; a conversation of system turns alone
 has no participant and no row; `<|` in texts and names becomes `< |`, so that no turn can forge a marker.
 Columns of the input beyond the four named ones are ignored.
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import row_numbers
+
 SYSTEM_ROLES = ("system",)
 PART_TURNS = 256
 
@@ -30,14 +32,16 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"),
         plain(F.coalesce(F.col(role).cast("string"), F.lit("unknown"))).alias("name"), plain(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("said"),
-    ).withColumn("part", F.coalesce(F.expr(f"floor(turn / {int(part_turns)})"), F.lit(0)))
+    )
+    placed = row_numbers(rows, ["conv_id"], [F.col("turn"), F.col("name"), F.col("said")], "place")
+    rows = placed.withColumn("part", F.floor(F.col("place") / part_turns).cast("long"))
     # One row for each speaker and conversation; partial sums run before the shuffle.
     speakers = rows.where(~F.col("name").isin(*system_roles)).groupBy("conv_id", "name").agg(F.lit(1).alias("one")).select(F.col("conv_id").alias("c2"), F.col("name").alias("speaker"))
     views = rows.join(speakers, rows["conv_id"].eqNullSafe(speakers["c2"])).drop("c2")
     mine = F.col("name") == F.col("speaker")
     head = F.when(mine, F.lit("assistant")).when(F.col("name").isin(*system_roles), F.col("name")).otherwise(F.concat(F.lit("user name="), F.col("name")))
     opened = F.concat(F.lit("<|im_start|>"), head, F.lit("\n"))
-    views = views.select("conv_id", "speaker", "part", F.struct("turn", "name", "said", mine.alias("mine"), F.length(opened).alias("open"), F.concat(opened, F.col("said"), F.lit("<|im_end|>\n")).alias("shown")).alias("t"))
+    views = views.select("conv_id", "speaker", "part", F.struct("place", mine.alias("mine"), F.length(opened).alias("open"), F.concat(opened, F.col("said"), F.lit("<|im_end|>\n")).alias("shown")).alias("t"))
     parts = views.groupBy("conv_id", "speaker", "part").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     # Ends of the turns' renderings, by one running sum; the closing line break is not trained on.
     ends = F.aggregate("ts", F.expr("cast(array() as array<int>)"), lambda acc, t: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(t["shown"]))))

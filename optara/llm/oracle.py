@@ -41,9 +41,8 @@ select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least
 
 _CHAT = r"""
 with c as (
-  select conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as name, replace(coalesce(text, ''), '<|', '< |') as said,
-         coalesce(cast(floor(turn / 256) as bigint), 0) as part
-  from conversations),
+  select *, cast((row_number() over (partition by conv_id order by turn nulls first, name, said) - 1) // 256 as bigint) as part
+  from (select conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') as name, replace(coalesce(text, ''), '<|', '< |') as said from conversations)),
 s as (select distinct conv_id, name as speaker from c where name <> 'system'),
 v as (
   select c.*, speaker, name = speaker as mine,

@@ -3,7 +3,7 @@
 Rules (host, path, verdict) fit their host and all its subdomains where the url's path starts with
 the rule's. The longest rule wins: the one with most host labels, then the longest path; of one rule
 given twice, the first counts. The trie is broadcast below a size bound; beyond it the rules are cut
-into tries below the bound, run one after another, and the longest of their matches wins.
+into tries below the bound, run one after another, and the longest of their matches wins. A single rule beyond the bound raises.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule and gets the
 default verdict; empty tables give an empty result; columns of the input other than the url pass through
@@ -89,17 +89,18 @@ class Trie:
         return best if best[0] else None
 
 
-def blocks(rules: Iterable[Rule], limit: int) -> Iterator[list[Rule]]:
-    """The rules in lists whose tries stay below the limit in bytes."""
+def blocks(rules: Iterable[Rule], limit: int) -> Iterator[tuple[list[Rule], int]]:
+    """The rules in lists whose tries stay below the limit in bytes, with the bytes; a rule beyond the limit stands alone."""
     block, size = [], 0
     for rule in rules:
         own = NODE_BYTES * (2 + rule[0].count(".") + rule[1].count("/")) + 8 * (len(rule[0]) + len(rule[1]))
         if block and size + own > limit:
-            yield block
+            yield block, size
             block, size = [], 0
         block.append(rule)
         size += own
-    yield block
+    if block:
+        yield block, size
 
 
 def judge(urls: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow", limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -111,10 +112,8 @@ def judge(urls: DataFrame, rules: Iterable[Rule], url: str = "url", default: str
     frame = frame.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("__labels"), F.lit(-1).alias("__length"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in frame.schema.fields])
     at = len(kept)
-    for block in blocks(rules, limit):
-        if not block:
-            continue
-        trie = broadcast_checked(spark, Trie(block), limit, "url trie")
+    for block, size in blocks(rules, limit):
+        trie = broadcast_checked(spark, Trie(block), size, "url trie")
 
         def run(batches, trie=trie):
             match = trie.value.match

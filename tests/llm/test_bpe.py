@@ -45,3 +45,22 @@ def test_awkward_rows(spark, awkward, empty, tokenizer):
     assert len(got) == df.count()
     check([(r, text[r["doc_id"]]) for r in got if r["doc_id"] is not None], tokenizer)
     assert all(len(r["ids"]) == r["n_tokens"] for r in got) and bpe.encode(empty, tokenizer_path()).count() == 0
+
+
+def test_caches_are_bounded_in_characters():
+    recent = bpe.Recent(1000, chars=800)
+    for i in range(500):
+        recent.put(f"k{i}", (1, "1", "x" * (i % 90)))
+        assert sum(len(k) + len(v[1]) + len(v[2]) for d in (recent, recent.old) for k, v in d.items()) <= 1600
+    recent.put("long", (1, "1", "x" * 200))
+    assert recent.find("long") is None and recent.find("k499") is not None
+
+
+def test_words_of_a_megabyte(spark):
+    """Very long words one after another: results are whole, and nothing of them is remembered."""
+    own = bpe.Encoder(tokenizer_path())
+    for i in range(6):
+        word = "".join(chr(97 + (i + j * j) % 26) for j in range(1 << 20))
+        n, ids, decoded = own.text(f"a {word} b")
+        assert n > 1000 and len(ids.split()) == n and decoded == own.tokenizer.decode(list(map(int, ids.split())), skip_special_tokens=False) and decoded.replace(" ", "").replace("</w>", "") == f"a{word}b"
+    assert sum(len(k) for d in (own.pieces, own.pieces.old, own.words, own.words.old) for k in d) < 1 << 20

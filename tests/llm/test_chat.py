@@ -12,8 +12,8 @@ def brute(rows, part_turns):
         turns.sort(key=lambda k: (k[0] is not None, k[0] or 0, k[1], k[2]))
         for me in {r for _, r, _ in turns if r != "system"}:
             whole, parts = 0, {}
-            for t, r, x in turns:
-                p = (t or 0) // part_turns
+            for at, (_, r, x) in enumerate(turns):
+                p = at // part_turns
                 text, mask = parts.setdefault(p, ["", [], 0, whole])[:2]
                 head = "assistant" if r == me else r if r == "system" else f"user name={r}"
                 opened = f"<|im_start|>{head}\n"
@@ -46,6 +46,12 @@ def test_awkward_rows(spark):
     assert not any(r["conv_id"] == 2 for r in chat.perspectives(df).collect())
 
 
+def test_turns_without_numbers_come_in_parts(spark):
+    rows = [(1, None, "ab"[i % 2], f"said {i:04d}") for i in range(600)] + [(1, 7, "a", f"again {i:03d}") for i in range(300)]
+    got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    assert result(got) == brute(rows, 256) and max(r["n_turns"] for r in got.collect()) == 256
+
+
 def test_main_path_is_native(spark, sf_dir):
     df = chat.perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -48,4 +48,9 @@ def test_awkward_urls(spark, limit):
 def test_blocks_stay_below_limit():
     rules = [(f"h{i}.org", "/a/b", "block") for i in range(100)]
     cut = list(url_filter.blocks(rules, 10_000))
-    assert [r for b in cut for r in b] == rules and len(cut) > 5
+    assert [r for b, _ in cut for r in b] == rules and len(cut) > 5 and all(size <= 10_000 for _, size in cut)
+
+
+def test_a_rule_beyond_the_bound_raises(spark):
+    with pytest.raises(ValueError, match="exceed"):
+        url_filter.judge(spark.createDataFrame([("http://a.org/",)], "url string"), [("a.org", "/" + "x" * 9_000_000, "block")])
