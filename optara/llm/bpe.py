@@ -82,16 +82,22 @@ class Recent(dict):
         return found
 
     def put(self, key, value) -> None:
-        """Keep an entry (tokens, ids, decoded), unless it alone is an eighth of what may be kept."""
-        size = len(key) + len(value[1]) + len(value[2])
+        self.add({key: value})
+
+    def add(self, entries: dict) -> None:
+        """Keep entries key -> (tokens, ids, decoded), one by one where they are an eighth of what may be kept, and none that is so alone."""
+        size = sum([len(k) + len(v[1]) + len(v[2]) for k, v in entries.items()])
         if size > self.chars // 8:
+            if len(entries) > 1:
+                for k, v in entries.items():
+                    self.add({k: v})
             return
         if len(self) >= self.most or self.held + size > self.chars:
             self.old = dict(self)
             self.clear()
             self.held = 0
         self.held += size
-        self[key] = value
+        self.update(entries)
 
 
 @contextmanager
@@ -212,7 +218,7 @@ class Encoder:
         made = {}
         for w, e in zip(parts, got, strict=False):
             made[w] = self._spaced(e.ids)
-            self.words.put(w, made[w])
+        self.words.add(made)
         for p, (w, mark) in simple.items():
             n, ids, text = made.get(w) or self.words.find(w) or self._entry(self.piece(w))
             if mark:
@@ -221,8 +227,7 @@ class Encoder:
             entries[p] = (n, ids, text)
         for p, e in zip(short, got[len(parts) :], strict=True):
             entries[p] = self._spaced(e.ids)
-        for p, entry in entries.items():
-            self.pieces.put(p, entry)
+        self.pieces.add(entries)
         return entries
 
     def text(self, text: str | None) -> tuple[int, str, str]:
@@ -236,8 +241,10 @@ class Encoder:
         got = list(map(self.pieces.get, found))
         if None in got:
             missing = dict.fromkeys(p for p, g in zip(found, got, strict=True) if g is None)
-            known = {p: self.pieces.find(p) for p in missing}
-            known |= self._learn([p for p, entry in known.items() if entry is None])
+            old = self.pieces.old
+            known = {p: old[p] for p in missing if p in old}
+            self.pieces.add(known)
+            known |= self._learn([p for p in missing if p not in known])
             got = [known[p] if g is None else g for p, g in zip(found, got, strict=True)]
         got = [g for g in got if g[0]]
         return sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
