@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import exact, text, words
 from .functions.schedule import schedule
 from .operators import answer, pick, relations, rows, score, scorer
-from .plans import extra
+from .plans import benchmark, extra
 from .plans.decisions import decisions, item_cards, questions, table
 
 QUERIES: dict = {}
@@ -377,9 +377,9 @@ def slot_layout(spark, sf_dir):
     return d.withColumn("l", lay).select("id", "l.state_width", "l.state_used", "l.question_start", "l.question_width", "l.option_width", F.array_join(F.col("l.option_starts").cast("array<string>"), ",").alias("option_starts"))
 
 
-@query("select conv_id, turn, case when strlen(text) <= 64 then hex(text) else right(hex(text), 128) end as tail from conversations")
+@query("select conv_id, turn, case when strlen(text) <= 192 then hex(text) else right(hex(text), 384) end as tail from conversations")
 def tail_truncate(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rows.tail_bytes(F.col("text"), 64).alias("tail"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rows.tail_bytes(F.col("text"), 192).alias("tail"))
 
 
 @query("with c as (select conv_id, count(*) as k from conversations group by 1) select conv_id, k, (row_number() over (partition by k order by conv_id) - 1) // 8 as batch from c")
@@ -399,17 +399,6 @@ def lr_schedule(spark, sf_dir):
     return spark.range(1200).select(F.col("id").alias("step"), F.round(schedule(F.col("id"), 1000, 100), 9).alias("rate"))
 
 
-@query("""select count(*) as rows, count(*) filter (where n_chars > 2000) as long_rows, count(*) - count(*) filter (where n_chars > 2000) as dropped, (select string_agg(lang || '=' || n, ',' order by lang) from (select lang, count(*) as n from documents group by 1)) as by_language,
- (select string_agg(source || '=' || n, ',' order by source || '=' || n) from (select source, count(*) as n from documents group by 1)) as by_source from documents""")
-def file_manifest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", "source", "n_chars")
-    # One aggregate per (lang, source), then everything from that small table.
-    g = d.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2000).alias("long"))
-    histogram = lambda c: g.groupBy(c).agg(F.sum("n").alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col(c), F.lit("="), F.col("n").cast("string")))), ",").alias(f"by_{'language' if c == 'lang' else c}"))
-    whole = g.agg(F.sum("n").alias("rows"), F.sum("long").alias("long_rows"), (F.sum("n") - F.sum("long")).alias("dropped"))
-    return whole.join(F.broadcast(histogram("lang"))).join(F.broadcast(histogram("source")))  # one row each
-
-
 @query(f"""with {_SCORED}, s as (select source as label, count(*) as rows, count(*) filter (where choice = answer) as hits, count(*) filter (where coalesce(decidable, true)) as dr, count(*) filter (where coalesce(decidable, true) and choice = answer) as dh,
   median(doc_id % 100 + 0.25) as p50, max(doc_id % 100) + 0.25 as p95 from e group by 1),
 t as (select *, hits / rows as a, {_WILSON.format("hits", "rows")} as w, case when dr > 0 then dh / dr end as d from s)
@@ -421,11 +410,38 @@ def leaderboard_pivot(spark, sf_dir):
     return score.leaderboard(t.join(ms, "source").withColumnRenamed("source", "label")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""with l as (select vec_id, list_transform(embedding[1:5], lambda x: x::double) as l from embeddings), e as (select vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) as e from l)
-select vec_id, list_position(l, list_max(l))::bigint - 1 as choice, round(e[1] / list_sum(e), 6) as p0, round(e[5] / list_sum(e), 6) as p4 from e""")
+_SHAPES = " || ' | ' || ".join(f"coalesce((select printf('%.1f', 100 * accuracy) from c where c.source = t.label and c.cell = '{cell}'), '')" for cell in score.CELLS)
+
+
+@query(f"""with {_SCORED}, s as (select source as label, count(*) as rows, count(*) filter (where choice = answer) as hits, count(*) filter (where coalesce(decidable, true)) as dr, count(*) filter (where coalesce(decidable, true) and choice = answer) as dh,
+  avg(1 / k) as chance, median(doc_id % 100 + 0.26) as p50, max(doc_id % 100) + 0.26 as p95 from e group by 1),
+c as (select source, cell, avg(hit::int) as accuracy from (select source, coalesce(choice = answer, false) as hit, unnest(['difficulty:' || split_part(difficulty, '+', 1), 'options:' || k, 'lang:' || lang, 'units:' || case when difficulty like '%+sodium_mg' then 'sodium_mg' else 'salt_g' end]) as cell from e) group by 1, 2),
+t as (select *, hits / rows as a, {_WILSON.format("hits", "rows")} as w, case when dr > 0 then dh / dr end as d, row_number() over (order by hits / rows desc, label) as n from s),
+lines as (
+  select 1 as part, 0 as n, unnest(['# Results', '', 'Forced accuracy per system. Latency is per decision.', '', '| System | Rows | Accuracy % | Wilson low % | Decidable % | p50 ms | p95 ms |', '|---|---:|---:|---:|---:|---:|---:|']) as line, unnest(range(6)) as k
+  union all select 2, n, '| ' || label || ' | ' || rows || ' | ' || printf('%.1f', 100 * a) || ' | ' || printf('%.1f', 100 * w) || ' | ' || coalesce(printf('%.1f', 100 * d), '') || ' | ' || printf('%.1f', p50) || ' | ' || printf('%.1f', p95) || ' |', 0 from t
+  union all select 3, 0, '', 0 union all select 4, 0, (select 'Chance (uniform pick): ' || printf('%.1f', 100 * chance) || '%.' from t where n = 1), 0
+  union all select 5, 0, unnest(['', '## By question shape', '', '| System | {" | ".join(cell.split(":")[1] for cell in score.CELLS)} |', '|---|{"---:|" * len(score.CELLS)}']), unnest(range(5))
+  union all select 6, n, '| ' || label || ' | ' || {_SHAPES} || ' |', 0 from t)
+select (row_number() over (order by part, n, k) - 1)::integer as n, line from lines""")
+def report_lines(spark, sf_dir):
+    """The whole report over one result document per source."""
+    e = _scored(spark, sf_dir)
+    t = score.totals(e, ["source"], F.col("choice"), F.col("answer"), F.col("decidable")).join(score.chance(e, ["source"], F.col("k")), "source")
+    keys = score.cell_keys(F.col("difficulty"), F.col("k"), F.col("lang"), F.col("difficulty").endswith("+sodium_mg"))
+    cells = score.cells(e, ["source"], keys, F.col("choice") == F.col("answer")).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("accuracy", "rows")))).alias("by"))
+    ms = e.withColumn("ms", F.col("doc_id") % 100 + F.lit(0.26)).groupBy("source").agg(F.percentile("ms", F.lit(0.5)).alias("p50"), F.max("ms").alias("p95"))
+    documents = t.join(cells, "source").join(ms, "source").withColumns({"system": F.struct(F.col("source").alias("name"), F.lit("rules").alias("kind"), F.lit("cpu").alias("device")), "latency_ms": F.struct("p50", "p95")})
+    return benchmark.report(documents)
+
+
+@query("""with l as (select vec_id, list_transform(embedding, lambda x: x::double)[1:len(embedding) - 1] as l from embeddings), e as (select vec_id, l, list_transform(l, lambda x: exp(x - list_max(l))) as e from l)
+select vec_id, list_position(l, list_max(l))::bigint - 1 as choice, round(e[1] / list_sum(e), 6) as p0, round(e[len(e)] / list_sum(e), 6) as p_last from e""")
 def softmax_choice(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("s", score.softmax_choice(F.transform(F.slice("embedding", 1, 6), lambda x: x.cast("double")), F.lit(5)))
-    return e.select("vec_id", "s.choice", F.col("s.probabilities")[0].alias("p0"), F.col("s.probabilities")[4].alias("p4"))
+    """All components but the last as logits of options, the last as that of `unknown`, which is left out."""
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    e = table(spark, sf_dir, "embeddings").withColumn("s", score.softmax_choice(logits, F.size("embedding") - 1))
+    return e.select("vec_id", "s.choice", F.get("s.probabilities", F.lit(0)).alias("p0"), F.try_element_at("s.probabilities", F.lit(-1)).alias("p_last"))
 
 
 @query("""with x as (select vec_id, list_filter(list_zip(range(0, 8), list_transform(range(0, 8), lambda i: embedding[i * 8 + 1 : i * 8 + 8])), lambda z: (vec_id + z[1]) % 3 <> 0) as kept from embeddings)
@@ -437,10 +453,11 @@ def masked_mean_pool(spark, sf_dir):
     return e.select("vec_id", F.round(F.col("m")[0], 6).alias("m0"), F.round(F.col("m")[7], 6).alias("m7"))
 
 
-@query(f"with s as (select o_orderkey, {_UNIT.format("('order/' || o_orderkey::varchar)")} < 0.2 as dev from orders) select count(*) as shared from (select distinct a.o_orderkey from s a join s b on a.o_orderkey = b.o_orderkey and a.dev and not b.dev)")
+@query(f"with s as (select text, {_UNIT.format("('doc/' || doc_id::varchar)")} < 0.2 as dev from documents) select count(*) as shared from (select distinct text from s where dev and text in (select text from s where not dev))")
 def leakage_check(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", relations.split_of(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string"))).alias("split"))
-    return relations.disjoint(o.where("split = 'dev'"), o.where("split = 'train'"), ["o_orderkey"])
+    """Texts on both sides of a split by document: copies under other ids leak, which the check must find."""
+    d = table(spark, sf_dir, "documents").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), relations.split_of(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).alias("split"))
+    return relations.disjoint(d.where("split = 'dev'"), d.where("split = 'train'"), ["digest"])
 
 
 @query("select event_id, (props->>'$.k')::bigint as k, case when (props->>'$.k')::bigint % 2 = 0 then 'even' else 'odd' end as choice from events")
@@ -454,9 +471,9 @@ def slugs(spark, sf_dir):
     return p.select("p_partkey", text.slug(F.concat_ws(" ", "p_name", "p_type")).alias("domain"), text.file_name(F.concat_ws("/", "p_type", "p_brand")).alias("file"))
 
 
-@query("select conv_id, turn, '257,' || array_to_string(list_transform(range(1, least(strlen(text), 30) + 1), lambda i: ('0x' || substr(hex(text), (2 * i - 1)::integer, 2))::integer), ',') || ',258' as ids from conversations")
+@query("select conv_id, turn, '257,' || array_to_string(list_transform(range(1, least(strlen(text), 1534) + 1), lambda i: ('0x' || substr(hex(text), (2 * i - 1)::integer, 2))::integer), ',') || ',258' as ids from conversations")
 def byte_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.byte_ids(F.col("text"), 32, scorer.BOS, scorer.EOS).cast("array<string>"), ",").alias("ids"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.byte_ids(F.col("text"), rows.MAX_LENGTH, scorer.BOS, scorer.EOS).cast("array<string>"), ",").alias("ids"))
 
 
 @query("select * from (select conv_id, turn, role from conversations order by conv_id desc, turn, role limit 25)")

@@ -116,9 +116,10 @@ def build(products: DataFrame, per_category: int = 12, seed: int = 20261015) ->
     return within_budget(make(attempts(pools(products), per_category, seed)))
 
 
-def publishable(rows: DataFrame) -> DataFrame:
+def is_publishable() -> Column:
     """Decidable training rows, and decidable development rows that aren't sealed."""
-    return rows.where(F.col("decidable") & ((F.col("split") == "train") | ~relations.sealed(F.col("group_id"), "v3-sealed")))
-
+    return F.col("decidable") & ((F.col("split") == "train") | ~relations.sealed(F.col("group_id"), "v3-sealed"))
 
 
+def publishable(rows: DataFrame) -> DataFrame:
+    return rows.where(is_publishable())

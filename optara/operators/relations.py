@@ -23,6 +23,13 @@ def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return best.select(*key, *(F.col(f"__row.__r{i}").alias(c) for i, c in enumerate(rest))).select(*df.columns)
 
 
+def last_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the last by columns whose values are total over a key's rows; combined before the shuffle as in first_of."""
+    rest = [c for c in df.columns if c not in (*key, *order)]
+    best = df.groupBy(*key).agg(F.max(F.struct(*order, *rest)).alias("__row"))
+    return best.select(*key, *(F.col(f"__row.{c}").alias(c) for c in (*order, *rest))).select(*df.columns)
+
+
 def split_of(key: Column) -> Column:
     """dev or train by a hash of the key: stable when rows come or go."""
     return F.when(unit(key) < DEV_SHARE, "dev").otherwise("train")

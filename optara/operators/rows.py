@@ -119,6 +119,13 @@ def batches(rows: DataFrame, options: str, order: list, size: int) -> DataFrame:
     return numbered.withColumn("batch", F.floor(F.col("__at") / size).cast("long")).drop("__at")
 
 
+def shuffled_batches(batched: DataFrame, options: str, seed: int) -> DataFrame:
+    """Batched rows with at: the place of their batch, from 0, in an order keyed by SHA-256 of seed, option count and number."""
+    each = batched.select(options, "batch").distinct()
+    key = F.sha2(F.encode(F.concat_ws("/", F.lit(str(seed)), F.col(options).cast("string"), F.col("batch").cast("string")), "UTF-8"), 256)
+    return batched.join(row_numbers(each, [], [key], "at"), [options, "batch"])
+
+
 def shuffle_options(options: Column, *key: Column) -> Column:
     """The options in an order keyed by SHA-256 of key and position: the same under any partitioning."""
     keyed = F.transform(options, lambda x, i: F.struct(F.sha2(F.encode(F.concat_ws("/", *key, i.cast("string")), "UTF-8"), 256).alias("k"), x.alias("x")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exact import percent, wilson_lower
+from ..functions.exact import let, percent, wilson_lower
 from .ranks import at_ranks
 
 # Cells of the report in its order.
@@ -60,18 +60,20 @@ def leaderboard(results: DataFrame) -> DataFrame:
 
 def softmax_choice(logits: Column, options: Column) -> Column:
     """Probabilities over the first options logits (what follows, such as `unknown`, is left out) and the best position."""
-    kept = F.slice(logits, 1, options)
-    top = F.array_max(kept)
-    e = F.transform(kept, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    p = F.transform(e, lambda x: F.round(x / total, 6))
-    return F.struct(p.alias("probabilities"), (F.array_position(kept, top) - 1).cast("long").alias("choice"))
+
+    def of(kept: Column) -> Column:
+        top = let(F.array_max(kept), lambda t: F.struct((F.array_position(kept, t) - 1).cast("long").alias("choice"), F.transform(kept, lambda x: F.exp(x - t)).alias("e")))
+        return let(top, lambda t: let(F.aggregate(t["e"], F.lit(0.0), lambda a, x: a + x), lambda total: F.struct(F.transform(t["e"], lambda x: F.round(x / total, 6)).alias("probabilities"), t["choice"].alias("choice"))))
+
+    return let(F.slice(logits, 1, options), of)
 
 
 def masked_mean(vectors: Column, mask: Column, width: int) -> Column:
     """Mean of the vectors where the mask holds, zeros if nowhere; an array of width doubles."""
-    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"])
-    n = F.greatest(F.size(kept), F.lit(1))
     zero = F.array_repeat(F.lit(0.0), width)
-    total = F.aggregate(kept, zero, lambda acc, x: F.zip_with(acc, x["v"], lambda a, b: a + b))
-    return F.transform(total, lambda s: s / n)
+
+    def of(kept: Column) -> Column:
+        n = F.greatest(F.size(kept), F.lit(1))
+        return F.transform(F.aggregate(kept, zero, lambda acc, x: F.zip_with(acc, x["v"], lambda a, b: a + b)), lambda s: s / n)
+
+    return let(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"]), of)

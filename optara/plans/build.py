@@ -12,9 +12,21 @@ from ..sources.files import write_json, write_jsonl
 SEED = 20261015
 
 
-def histogram(df: DataFrame, column: str) -> dict[str, int]:
-    """Counts by a column with few values."""
-    return {r[column]: r["count"] for r in df.groupBy(column).count().collect()}
+def histogram(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row: a map from a column's values, which are few, to their counts."""
+    return df.groupBy(column).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "count")))).alias(name))
+
+
+def counted(products: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: products, rows kept and dropped on both sides, and histograms of the training rows kept."""
+    c = rows.select("split", "difficulty", "lang", episodes.is_publishable().alias("kept"))
+    side = lambda split, kept: F.count_if((F.col("split") == split) & (F.col("kept") == kept))
+    whole = c.agg(side("train", True).alias("train_rows"), side("train", False).alias("train_undecidable_dropped"), side("dev", True).alias("dev_pool_rows"), side("dev", False).alias("dev_sealed_or_undecidable_dropped"))
+    train = c.where((F.col("split") == "train") & F.col("kept"))
+    one = products.select("code").distinct().agg(F.count("*").alias("products"))
+    for other in (whole, histogram(train, "difficulty", "by_difficulty"), histogram(train, "lang", "by_language")):
+        one = one.join(F.broadcast(other))  # one row each
+    return one
 
 
 def build(spark: SparkSession, path: str, out: str, per_category: int = 12, seed: int = SEED, partitions: int | None = None) -> dict:
@@ -24,13 +36,9 @@ def build(spark: SparkSession, path: str, out: str, per_category: int = 12, seed
         rows = episodes.build(products, per_category, seed).persist()
         kept = episodes.publishable(rows)
         train, dev = (kept.where(F.col("split") == s).drop("split") for s in ("train", "dev"))
-        counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
-        n_train, n_dev = write_jsonl(train, f"{out}/train", "overwrite"), write_jsonl(dev, f"{out}/dev-pool", "overwrite")
-        manifest = {
-            "source": {"path": path.rsplit("/", 1)[-1], "license": "ODbL-1.0"}, "seed": seed, "products": products.select("code").distinct().count(),
-            "train_rows": n_train, "train_undecidable_dropped": counts.get("train", 0) - n_train, "dev_pool_rows": n_dev, "dev_sealed_or_undecidable_dropped": counts.get("dev", 0) - n_dev,
-            "by_difficulty": histogram(train, "difficulty"), "by_language": histogram(train, "lang"),
-        }
+        write_jsonl(train, f"{out}/train", "overwrite")
+        write_jsonl(dev, f"{out}/dev-pool", "overwrite")
+        manifest = {"source": {"path": path.rsplit("/", 1)[-1], "license": "ODbL-1.0"}, "seed": seed} | counted(products, rows).first().asDict()
         rows.unpersist()
     finally:
         products.unpersist()

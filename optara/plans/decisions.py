@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
@@ -19,10 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, k, line, part, quantity, price, discount, tax): one row per order with 3 to 5 items, arrays in option order.
 
-    Groups are bounded by what an order is; an order beyond max_k items isn't a decision.
+    Items are counted before they are gathered, in a window that spills: an order of any other size is never held.
     """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")).alias("o"))
-    grouped = items.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("o")).alias("o")).where(F.size("o").between(3, 5))
+    sized = items.withColumn("n", F.count("*").over(Window.partitionBy("l_orderkey"))).where(F.col("n").between(3, 5))
+    grouped = sized.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("o")).alias("o"))
     return grouped.select("id", F.size("o").cast("long").alias("k"), *(F.col(f"o.{c}").alias(c) for c in ("line", "part", *VALUES)))
 
 
