@@ -262,13 +262,14 @@ def model_bytes(model: Model) -> int:
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns of docs with score double, n_passages int and statistic double."""
     sent = broadcast_checked(docs.sparkSession, model, model_bytes(model), "toxicity model")
-    frame = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.IntegerType()), T.StructField("statistic", T.DoubleType())])
+    frame = docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias("__text")]))  # whole texts travel once
+    at = keep.index(text) if text in keep else len(keep)
+    schema = T.StructType([*frame.schema.fields[: len(keep)], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.IntegerType()), T.StructField("statistic", T.DoubleType())])
 
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            got = [scorer.score(t) for t in batch.column(len(keep)).to_pylist()]
+            got = [scorer.score(t) for t in batch.column(at).to_pylist()]
             own = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.float64(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *own], names=[*batch.schema.names[: len(keep)], "score", "n_passages", "statistic"])
 
