@@ -19,17 +19,16 @@ def let(value: Column, f) -> Column:
 def tenths(value: Column) -> Column:
     """10 * value rounded half to even on the exact binary value, as a double.
 
-    10v is 8v + 2v, both exact; the error of their sum (TwoSum) breaks the ties that the rounded sum hides.
+    The double next to 10v lies on the same side of a tie as 10v unless it is the tie itself. Only then the error of the product
+    counts: 10v is 8v + 2v, both exact, and TwoSum gives what their sum lost.
     """
-    v = F.abs(value.cast("double"))
-    a, b = v * F.lit(8.0), v * F.lit(2.0)
-    s = a + b
-    t = s - a
-    error = (a - (s - t)) + (b - t)
-    whole = F.floor(s).cast("double")
-    part = s - whole
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    return F.signum(value) * (whole + up.cast("double"))
+    v = value.cast("double")
+    s = v * F.lit(10.0)
+    eight = v * F.lit(8.0)
+    t = s - eight
+    error = (eight - (s - t)) + (v * F.lit(2.0) - t)
+    tie = F.when(error > 0, F.ceil(s).cast("double")).when(error < 0, F.floor(s).cast("double")).otherwise(F.rint(s))
+    return F.when(s - F.floor(s) == 0.5, tie).otherwise(F.rint(s))
 
 
 def round1(value: Column) -> Column:

@@ -77,14 +77,16 @@ def card_body(text: Column) -> Column:
     return F.coalesce(F.nullif(tail, F.lit("")), text)
 
 
-def panel_values(body: Column) -> Column:
-    def value(name: str) -> Column:
-        said = "|".join(re.escape(W.PRINTED[c][name]) for c in ("en", "es"))
-        unit = {"energy": "kcal", "sodium": "mg"}.get(name, "g")
-        return F.nullif(F.regexp_extract(body, rf"(?iu)(?:{said}) ([0-9.]+) {unit}", 1), F.lit("")).try_cast("double")
+def read_value(body: Column, nutrient: str) -> Column:
+    """The first value that a card's body prints for a nutrient; salt from sodium where salt isn't printed."""
+    said = "|".join(re.escape(W.PRINTED[c][nutrient]) for c in ("en", "es"))
+    unit = {"energy": "kcal", "sodium": "mg"}.get(nutrient, "g")
+    found = F.nullif(F.regexp_extract(body, rf"(?iu)(?:{said}) ([0-9.]+) {unit}", 1), F.lit("")).try_cast("double")
+    return F.coalesce(found, read_value(body, "sodium") * F.lit(2.5) / F.lit(1000.0)) if nutrient == "salt" else found
+
 
-    salt = F.coalesce(value("salt"), value("sodium") * F.lit(2.5) / F.lit(1000.0))
-    return F.struct(*(value(n).alias(n) for n in W.NUTRIENTS[:-1]), salt.alias("salt"))
+def panel_values(body: Column) -> Column:
+    return F.struct(*(read_value(body, n).alias(n) for n in W.NUTRIENTS))
 
 
 def asks_least(question: Column) -> Column:

@@ -19,10 +19,11 @@ def parsed(question: Column) -> Column:
     return let(named, lambda n: F.struct(F.try_element_at(n, F.lit(-1)).alias("target"), F.try_element_at(n, F.lit(1)).alias("capped"), F.when(F.size(n) >= 2, X.cap_of(question)).alias("limit"), X.asks_least(question).alias("least")))
 
 
-def _value(panel: Column, name: Column) -> Column:
-    out = F.when(name == W.NUTRIENTS[0], panel[W.NUTRIENTS[0]])
+def _value(body: Column, name: Column) -> Column:
+    """The value that a card's body prints for the named nutrient; the others aren't looked for."""
+    out = F.when(name == W.NUTRIENTS[0], X.read_value(body, W.NUTRIENTS[0]))
     for n in W.NUTRIENTS[1:]:
-        out = out.when(name == n, panel[n])
+        out = out.when(name == n, X.read_value(body, n))
     return out
 
 
@@ -31,14 +32,13 @@ def decide(question: Column, texts: Column) -> Column:
 
     A card without the capped value breaks the cap, one without the target is left out; of equal values the first wins.
     """
-    panels = F.transform(F.transform(texts, X.card_body), X.panel_values)
 
     def pick(q: Column) -> Column:
-        def option(p: Column, i: Column) -> Column:
-            within = q["limit"].isNull() | (F.coalesce(_value(p, q["capped"]), F.lit(1e9)) <= q["limit"])
-            return F.struct(F.when(within, _value(p, q["target"])).alias("v"), i.alias("i"))
+        def option(body: Column, i: Column) -> Column:
+            within = q["limit"].isNull() | (F.coalesce(_value(body, q["capped"]), F.lit(1e9)) <= q["limit"])
+            return F.struct(F.when(within, _value(body, q["target"])).alias("v"), i.alias("i"))
 
-        cards = F.filter(F.transform(panels, option), lambda x: x["v"].isNotNull())
+        cards = F.filter(F.transform(F.transform(texts, X.card_body), option), lambda x: x["v"].isNotNull())
         # The least (value, position), the value's sign turned where the most is asked: the first of equal values wins.
         keyed = F.transform(cards, lambda x: F.struct(F.when(q["least"], x["v"]).otherwise(-x["v"]).alias("v"), x["i"].alias("i")))
         return F.when(q["target"].isNotNull(), F.array_min(keyed)["i"].cast("int"))
