@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,22 +12,36 @@ from ..shared import materialize, partitions
 SPLITTERS = 200
 
 
+PART = "__part"
+
+
+def in_ranges(df: DataFrame, group: list[str], order: list[Column]) -> tuple[DataFrame, list[str]]:
+    """df dealt by ranges of (group, order), so that a large group spans partitions, with its partition in PART; and order's columns.
+
+    The dealt rows are written once, since all that follows must see the same partitions.
+    """
+    keys = [f"__k{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(partitions(df.sparkSession), *group, *keys).withColumn(PART, F.spark_partition_id())
+    return materialize(dealt, "ranges"), keys
+
+
+def carried(dealt: DataFrame, group: list[str], **of: tuple[Column, Callable[[Column], Column]]) -> DataFrame:
+    """dealt with, for each name, what an aggregate gives over a group's earlier parts: (the aggregate, how parts' results combine)."""
+    parts = dealt.groupBy(*group, PART).agg(*(a.alias(n) for n, (a, _) in of.items()))
+    before = Window.partitionBy(*group).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col(PART).alias("__p"), *(combine(F.col(n)).over(before).alias(n) for n, (_, combine) in of.items()))
+    match = [F.col(f"__g{i}").eqNullSafe(F.col(c)) for i, c in enumerate(group)] + [F.col("__p") == F.col(PART)]
+    return dealt.join(parts, match).drop("__p", *(f"__g{i}" for i in range(len(group))))
+
+
 def row_numbers(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """df with name: each row's place (from 0) in its group by order, which should be total for a reproducible result.
 
-    Rows are range-partitioned by group and order, so that a large group spans partitions; counts per group and
-    partition give offsets, and a window runs only within them. The dealt rows are written once, since both steps must
-    see the same partitions.
+    Counts of a group's earlier ranges give offsets, and a window runs only within a range.
     """
-    keys = [f"__k{i}" for i in range(len(order))]
-    dealt = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(partitions(df.sparkSession), *group, *keys).withColumn("__part", F.spark_partition_id())
-    dealt = materialize(dealt, "ranks")
-    counts = dealt.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(group)), F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = dealt.withColumn("__at", F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*keys)) - 1)
-    match = [F.col(f"__g{i}").eqNullSafe(F.col(c)) for i, c in enumerate(group)] + [F.col("__p") == F.col("__part")]
-    return inside.join(offsets, match).withColumn(name, F.col("__at") + F.col("__offset")).select(*df.columns, name)
+    dealt, keys = in_ranges(df, group, order)
+    at = F.row_number().over(Window.partitionBy(*group, PART).orderBy(*keys)) - 1
+    return carried(dealt, group, __offset=(F.count("*"), F.sum)).withColumn(name, at + F.coalesce("__offset", F.lit(0))).select(*df.columns, name)
 
 
 def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:

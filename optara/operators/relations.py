@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import unit
-from .ranks import row_numbers
+from .ranks import PART, carried, in_ranges, row_numbers
 
 DEV_SHARE, SEALED_SHARE, POOL_ROWS = 0.2, 0.25, 400
 
@@ -72,26 +72,40 @@ def stratified(df: DataFrame, cell: list[str], order: list[Column], limit: int)
 
 
 def running_total(df: DataFrame, key: list[str], order: list[Column], value: Column, name: str = "total") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """df with the sum of value up to each row. In this and the next ones a key of any size spans tasks: windows run within
+    ranges of its rows, and what earlier ranges amount to is carried over."""
+    dealt, keys = in_ranges(df.withColumn("__v", value), key, order)
+    here = F.sum("__v").over(Window.partitionBy(*key, PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.when(F.col("__before").isNull(), here).otherwise(F.col("__before") + F.coalesce(here, F.lit(0)))
+    return carried(dealt, key, __before=(F.sum("__v"), F.sum)).withColumn(name, total).select(*df.columns, name)
 
 
 def champions(df: DataFrame, key: list[str], order: list[Column], value: str) -> DataFrame:
     """df with best_before (0 at first) and champion: whether value is above all before it."""
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("best_before", F.coalesce(F.max(value).over(before), F.lit(0.0))).withColumn("champion", F.coalesce(F.col(value) > F.col("best_before"), F.lit(False)))
+    dealt, keys = in_ranges(df, key, order)
+    here = F.max(value).over(Window.partitionBy(*key, PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    best = carried(dealt, key, __before=(F.max(value), F.max)).withColumn("best_before", F.coalesce(F.greatest(here, "__before"), F.lit(0.0)))
+    return best.withColumn("champion", F.coalesce(F.col(value) > F.col("best_before"), F.lit(False))).select(*df.columns, "best_before", "champion")
 
 
 def islands(df: DataFrame, key: list[str], order: list[Column], value: str) -> DataFrame:
     """df with island: runs of equal value numbered from 0."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    new = F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), F.lit(False))
-    return df.withColumn("__new", new.cast("int")).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    dealt, keys = in_ranges(df, key, order)
+    w = Window.partitionBy(*key, PART).orderBy(*keys)
+    last = F.max(F.struct(*keys, F.col(value).alias("v")))
+    before = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(w), F.when(F.col("__last").isNotNull(), F.struct(F.col("__last.v").alias("v"))))
+    marked = carried(dealt, key, __last=(last, F.max)).withColumn("__previous", before)
+    marked = marked.withColumn("__new", (F.col("__previous").isNotNull() & ~F.col("__previous.v").eqNullSafe(F.col(value))).cast("int"))
+    here = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return carried(marked, key, __earlier=(F.sum("__new"), F.sum)).withColumn("island", here + F.coalesce("__earlier", F.lit(0))).select(*df.columns, "island")
 
 
 def rung_index(df: DataFrame, key: list[str], order: list[Column], cleared: Column, last: int = 5) -> DataFrame:
     """df with rung_index: how often a rung was cleared before, clipped to the last rung."""
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("rung_index", F.least(F.coalesce(F.sum(cleared.cast("int")).over(before), F.lit(0)), F.lit(last)).cast("long"))
+    dealt, keys = in_ranges(df.withColumn("__c", cleared.cast("int")), key, order)
+    here = F.sum("__c").over(Window.partitionBy(*key, PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    n = F.coalesce(here, F.lit(0)) + F.coalesce("__before", F.lit(0))
+    return carried(dealt, key, __before=(F.sum("__c"), F.sum)).withColumn("rung_index", F.least(n, F.lit(last)).cast("long")).select(*df.columns, "rung_index")
 
 
 def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:

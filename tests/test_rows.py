@@ -83,3 +83,27 @@ def test_shuffle_keeps_options(spark):
     df = spark.range(50).select("id", F.array(*(F.lit(x) for x in "abcde")).alias("o"))
     got = df.select(rows.shuffle_options(F.col("o"), F.lit("seed"), F.col("id").cast("string")).alias("s")).collect()
     assert all(sorted(r["s"]) == list("abcde") for r in got) and len({tuple(r["s"]) for r in got}) > 20
+
+
+def test_history_windows_over_one_large_key(spark):
+    """One key over many ranges, with nulls, ties in the order and runs that cross ranges, against plain loops."""
+    import random
+
+    rng = random.Random(3)
+    log = [("hot", i // 2, i, rng.choice([None, 1.0, 2.0, 5.0, 95.0]), rng.choice(["a", "a", "a", "b", None])) for i in range(700)] + [("cold", 1, 0, None, None), ("cold", 2, 1, 3.0, None), (None, 1, 2, 4.0, "x"), (None, 1, 3, None, "x")]
+    df = spark.createDataFrame(log, "k string, t int, id int, v double, e string").repartition(5)
+    order = [F.col("t"), F.col("id")]
+    want = {}
+    for k in ("hot", "cold", None):
+        total, best, clears, island, previous = None, 0.0, 0, 0, None
+        for n, (_, _, i, v, e) in enumerate(sorted((r for r in log if r[0] == k), key=lambda r: (r[1], r[2]))):
+            total = v if total is None else total + (v or 0.0)
+            island += n > 0 and e != previous
+            want[i if k == "hot" else (k, i)] = (total, best, v is not None and v > best, min(clears, 5), island)
+            best, clears, previous = max(best, v or 0.0), clears + (v is not None and v >= 90), e
+    out = relations.running_total(df, ["k"], order, F.col("v"))
+    out = relations.champions(out, ["k"], order, "v")
+    out = relations.rung_index(out, ["k"], order, F.col("v") >= 90)
+    out = relations.islands(out, ["k"], order, "e")
+    got = {r["id"] if r["k"] == "hot" else (r["k"], r["id"]): (r["total"], r["best_before"], r["champion"], r["rung_index"], r["island"]) for r in out.collect()}
+    assert got == want
