@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from optara.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from optara.llm.common import ROW, materialize, numbered, table
 from optara.llm.queries import TOXIC_CUT, tokenizer_path, toxicity_model
+from optara.shared import settle, written
 from optara.shipping import shipped
 
 
@@ -52,10 +53,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result but the last is written to the shared folder and read again.
+
+    What a stage and those before it wrote besides is deleted as soon as its result is there.
+    """
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}", since)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from .operators import scorer, synth, systems
 from .plans import benchmark
 from .plans import build as dump_build
+from .shared import clear
 from .shipping import ship
 from .sources.files import read_documents, read_jsonl, write_json, write_jsonl, write_lines
 from .streaming import server
@@ -71,6 +72,8 @@ def main(argv: list[str] | None = None) -> int:
     command(serve, ("model", {}), ("--port", {"type": int, "default": 8080}))
     args = cli.parse_args(argv)
     args.run(args)
+    if (spark := SparkSession.getActiveSession()) is not None:
+        clear(spark)  # results are stored by now
     return 0
 
 

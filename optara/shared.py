@@ -37,10 +37,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the tables that materialize wrote for this driver; for use once results are stored elsewhere."""
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that materialize wrote for this driver, from the one numbered since on; for use once results are stored."""
     jvm, n = spark.sparkContext._jvm, 0
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
+
+
+def written() -> int:
+    """How many tables materialize has written that aren't deleted."""
+    return len(_written)
+
+
+def settle(df: DataFrame, label: str, since: int) -> DataFrame:
+    """df written as materialize does; all tables written since are deleted then, for nothing needs them any more."""
+    out = materialize(df, label)
+    kept = _written.pop()
+    clear(df.sparkSession, since)
+    _written.append(kept)
+    return out

@@ -48,4 +48,7 @@ def test_written_tables_can_be_cleared(spark):
 
     shared.clear(spark)
     df = shared.materialize(spark.range(3), "test")
+    more = shared.settle(shared.materialize(df.selectExpr("id + 1 as id"), "test"), "test", shared.written())
+    assert shared.settle(more, "test", 1).count() == 3 and shared.written() == 2
+    assert shared.clear(spark, 1) == 1
     assert df.count() == 3 and shared.clear(spark) == 1 and shared.clear(spark) == 0
