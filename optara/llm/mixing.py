@@ -1,6 +1,7 @@
 """Mix sources to target weights: hash-random keys, a range sort within each source, prefix sums, exact cuts.
 
-Every document gets the key md5(seed, id), uniform over its source. Since the keys are uniform, equal-width
+Every document gets the key md5(seed, id), uniform over its source; of rows that share an id or have none, all but the first by
+source and size get the md5 of that key and their place. Since the keys are uniform, equal-width
 ranges of the key space are balanced splitters known beforehand: each source is cut into as many ranges as
 its rows need, sums per range give the ranges' offsets, and a running sum inside a range gives every
 document's prefix. No task holds a whole source. A budget of b words over a source of s words is b div s
@@ -8,7 +9,7 @@ whole epochs and, of the last epoch, the documents whose prefix lies below the r
 the cut gives the words up to it, so that each source meets its budget exactly.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents of size 0
-take nothing; rows with equal ids are ordered by size, and repeated rows get interchangeable results; an empty
+take nothing; repeated rows get interchangeable results; an empty
 table gives an empty result; columns of the input whose names clash with results are replaced.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import row_numbers
-from .common import ROW, WORD, materialize, numbered
+from .common import ROW, WORD, materialize, numbered, with_groups
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -55,6 +56,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: key, size, source_size, target, taken (words, repeats counted), epochs taken whole, source, and the columns of also."""
     rows = materialize(docs.select(*also, F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("order")), "mix-sizes")
+    rows = _spread(rows, also)
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(per_source.select("source", "source_size"), weights, most).join(per_source.select(F.col("source").alias("s2"), F.ceil(F.col("n") / range_rows).alias("ranges")), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
     plan = materialize(plan, "mix-plan")  # one row per source
@@ -72,6 +74,17 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return placed.withColumn("epochs", epochs.cast("long")).select(F.col("id").alias(key), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", rows["source"], *also)
 
 
+def _spread(rows: DataFrame, also: tuple[str, ...]) -> DataFrame:
+    """rows where those after the first of an id, and of no id, have keys of their own, so that none gathers in one range."""
+    repeated = materialize(rows.groupBy("order").agg(F.count("*").alias("n")).where("n > 1"), "mix-repeated")
+    if repeated.isEmpty():
+        return rows
+    tagged = with_groups(rows, repeated, "order")
+    many = row_numbers(tagged.where("n is not null").select(*rows.columns), ["order"], [F.col("source"), F.col("size"), *map(F.col, also)], "__nth")
+    key = F.when(F.col("__nth") > 0, F.md5(F.concat_ws(":", "order", F.col("__nth").cast("string")))).otherwise(F.col("order"))
+    return materialize(tagged.where("n is null").select(*rows.columns).unionByName(many.withColumn("order", key).drop("__nth")), "mix-keys")
+
+
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as their mix takes them, ids repeated or null as they may be: rows are numbered, and each gets its own result."""
     rows = numbered(docs)

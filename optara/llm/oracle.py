@@ -21,8 +21,10 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from fit
 _MIX = rf"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size,
-         md5(concat_ws(':', 'mix', coalesce(cast(doc_id as varchar), 'null'))) as o
+         md5(concat_ws(':', 'mix', coalesce(cast(doc_id as varchar), 'null'))) as m
   from documents),
+n as (select *, row_number() over (partition by doc_id order by source nulls first, size) - 1 as nth from d),
+e as (select *, case when nth > 0 then md5(m || ':' || nth) else m end as o from n),
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source is null, source) - 1 as rank from d group by source),
 w as (select *, cast(case rank % 3 when 0 then 5 when 1 then 2 else 1 end as double) as weight, 3 * source_size as cap from s),
 l as (
@@ -33,9 +35,9 @@ t as (
   select source, source_size, least(cast(cap as double), coalesce(max(case when cap / weight >= level then level end) over () * weight, 0)) as target, cap from l),
 b as (select *, least(cap, cast(floor(target + 0.5) as bigint)) as budget from t),
 p as (
-  select d.*, b.source_size, b.target, b.budget, case when b.source_size > 0 then b.budget // b.source_size else 0 end as epochs,
-         cast(coalesce(sum(size) over (partition by d.source order by o, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) as prefix
-  from d join b on d.source is not distinct from b.source)
+  select e.*, b.source_size, b.target, b.budget, case when b.source_size > 0 then b.budget // b.source_size else 0 end as epochs,
+         cast(coalesce(sum(size) over (partition by e.source order by o, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) as prefix
+  from e join b on e.source is not distinct from b.source)
 select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, budget - epochs * source_size - prefix)) as bigint) as taken from p
 """
 

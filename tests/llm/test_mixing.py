@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from optara.llm import mixing
 
@@ -20,10 +21,14 @@ def brute(rows, weights=(5, 2, 1), most=3):
         target |= {s: float(most * size[s]) for s in over}
         left -= sum(most * size[s] for s in over)
         free -= over
-    out = []
+    out, nth, keyed = [], Counter(), []
+    for i, x, n in sorted(docs, key=lambda d: (d[1] is not None, d[1] or "", d[2])):
+        key = hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()
+        keyed.append((hashlib.md5(f"{key}:{nth[i]}".encode()).hexdigest() if nth[i] else key, i, x, n))
+        nth[i] += 1
     for s in sources:
         budget = min(most * size[s], int(target[s] + 0.5))
-        own = sorted(((hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest(), -1 if i is None else i, n) for i, x, n in docs if x == s))
+        own = sorted((key, -1 if i is None else i, n) for key, i, x, n in keyed if x == s)
         epochs, rest = divmod(budget, size[s]) if size[s] else (0, 0)
         for _, i, n in own:
             take = max(0, min(n, rest))
@@ -72,3 +77,11 @@ def test_each_row_is_taken_once(spark, awkward):
     budgets = {r["source"]: r["budget"] for r in mixing.targets(docs.groupBy("source").agg(mixing.F.sum(mixing.size_of(docs["text"])).alias("source_size"))).collect()}
     for got in (mixing.take(docs), mixing.apply(docs, mixing.mix(docs))):
         assert {r["source"]: r["n"] for r in got.groupBy("source").agg(mixing.F.sum(mixing.size_of(got["text"])).alias("n")).collect()} == budgets
+
+
+def test_rows_without_ids_spread_over_ranges(spark):
+    rows = [(None, "w " * (1 + i % 7), "a") for i in range(900)] + [(5, "v " * (1 + i % 3), "b") for i in range(300)] + [(i, "u", "a") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    assert result(mixing.mix(docs, range_rows=40)) == brute([(i, t, s) for i, t, s in rows])
+    keys = mixing._spread(docs.select("doc_id", "source", mixing.size_of(docs["text"]).alias("size"), mixing.F.md5(mixing.F.coalesce(docs["doc_id"].cast("string"), mixing.F.lit("null"))).alias("order")), ())
+    assert keys.select("order").distinct().count() == 1220
