@@ -113,6 +113,12 @@ def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def unequal(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row (only_left, only_right): rows of one table that the other lacks, repeats counted; zeros where both are equal."""
+    rest = lambda a, b, name: a.exceptAll(b).agg(F.count("*").alias(name))
+    return rest(left, right, "only_left").join(F.broadcast(rest(right, left, "only_right")))  # one row each
+
+
 def disjoint(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """One row (shared): how many distinct keys of left are in right."""
     return left.select(*key).join(right.select(*key), key, "left_semi").distinct().agg(F.count("*").alias("shared"))

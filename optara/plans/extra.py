@@ -11,7 +11,7 @@ from ..functions import words as W
 from ..functions.text import letter_choice
 from ..operators import episodes, relations, rows, scorer, synth, systems
 from ..shared import partitions, shared_dir
-from ..sources import dump
+from ..sources import dump, files
 from ..streaming import history
 from . import benchmark, build, episode_sql, rung_sql
 from .decisions import table
@@ -116,6 +116,38 @@ def register(query) -> None:
         c = dump.clean(dump_rows(spark, sf_dir))
         return c.select("code", "name", "brand", "quantity", "category", "group", "language", *(F.col(f"values.{n}").alias(n) for n in W.COLUMNS), "sodium", "file_pos")
 
+    @query(CLEAN.replace(", i as file_pos from r", " from r"))
+    def dump_round_trip(spark, sf_dir):
+        """The same lines written as a compressed, tab-separated dump and read from it."""
+        path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+        written = dump_rows(spark, sf_dir).drop("file_pos").write.option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("compression", "gzip")
+        written.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        c = dump.read_products(spark, path, partitions(spark))
+        return c.select("code", "name", "brand", "quantity", "category", "group", "language", *(F.col(f"values.{n}").alias(n) for n in W.COLUMNS), "sodium")
+
+    @query(f"with {episode_sql.built(episode_sql.PARTS)}, e as (select {episode_sql.ROW}, split, k from made) select id, question, answer, lang, difficulty, decidable, k as options from e where {episode_sql.PUBLISHABLE}")
+    def jsonl_round_trip(spark, sf_dir):
+        """Published rows written as JSON lines and read back."""
+        path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+        files.write_jsonl(episodes.publishable(episodes.build(products(spark, sf_dir))).drop("split"), path)
+        return files.read_jsonl(spark, path).select("id", "question", "answer", "lang", "difficulty", "decidable", F.size("candidates").cast("long").alias("options"))
+
+    @query("""with a as (select distinct lang, source from documents), e as (select distinct lang, source from documents where lang = 'en')
+select 'sample' as side, 0 as only_left, 0 as only_right union all select 'english', (select count(*) from (select * from a except all select * from e)), (select count(*) from (select * from e except all select * from a))""")
+    def same_cells(spark, sf_dir):
+        """A stratified sample holds every cell, one language alone doesn't."""
+        d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+        cells = lambda df: df.select("lang", "source").distinct()
+        sides = {"sample": relations.stratified(d, ["lang", "source"], [F.col("doc_id")], 137), "english": d.where("lang = 'en'")}
+        found = [relations.unequal(cells(d), cells(other)).select(F.lit(name).alias("side"), "only_left", "only_right") for name, other in sides.items()]
+        return found[0].unionByName(found[1])
+
+    @query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as iso, date_diff('day', timestamp '2020-01-01', ts)::integer as days from events")
+    def iso_times(spark, sf_dir):
+        """Times as ISO text, and days from the text read back."""
+        e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso"))
+        return e.withColumn("days", F.date_diff(F.to_date("iso", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("2020-01-01").cast("date")))
+
     @query(episode_sql.manifest())
     def build_manifest(spark, sf_dir):
         """The counts that a build writes beside its files."""
