@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import materialize, partitions, shared_dir  # noqa: F401  (operators take them from here)
+from .. import shared
+from ..shared import partitions, shared_dir  # noqa: F401  (operators take them from here)
 
 #: A word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROW = "__row"
 
 
+#: Rows that a function over long texts gets at once.
+ARROW_ROWS = 2_000
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, see shared.materialize.
+
+    While it is written, ARROW_ROWS rows cross to Python at once where the session has Spark's default of 10,000, which is meant for
+    short rows; the session's own setting is put back before this returns.
+    """
+    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(size)
+    if before != "10000":
+        return shared.materialize(df, label)
+    conf.set(size, str(ARROW_ROWS))
+    try:
+        return shared.materialize(df, label)
+    finally:
+        conf.set(size, before)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with a number for each row in ROW, written once so that every later pass sees the same numbers."""
     return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
@@ -67,10 +89,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-#: Rows that a function over long texts gets at once; the session bounds what crosses the pipe at once, in bytes.
-ARROW_ROWS = 2_000
-
-
 def frugal(run):
     """A function over batches for long texts: it gets short batches, and memory is given back at its end.
 

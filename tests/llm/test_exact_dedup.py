@@ -81,3 +81,9 @@ def test_ties_decide_before_the_key(spark):
 def test_no_shuffle_by_group(spark, documents):
     plan = exact_dedup.groups(documents)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan
+
+
+def test_the_sessions_settings_stay(spark, documents):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    exact_dedup.groups(documents).count()
+    assert before == {k: spark.conf.get(k) for k in before}
